@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import encoding, grouping, mixing
+from siftwell.llm import canonical, encoding, grouping, mixing
 from siftwell.session import materialise, table
 
 
@@ -12,6 +12,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.group_links(grouping.same_verdicts(table(spark, sf_dir, "match_pairs")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_values(table(spark, sf_dir, "leads"), table(spark, sf_dir, "ref_values"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p8_ids, p8_decoded, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p4_found, p5_found, p8_ids, p8_decoded, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
