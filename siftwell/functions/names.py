@@ -10,19 +10,21 @@ LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th",
 
 # Short and pet forms of given names.
 NICKNAMES = {
-    "alexander": "alex al sasha xander sandy alec",
+    "alexander": "alex al sasha sascha xander sandy alec",
     "alexandra": "alex sasha sandra lexi",
     "anthony": "tony ant",
     "benjamin": "ben benny benji",
     "charles": "charlie chuck chas",
     "christopher": "chris topher kit",
     "daniel": "dan danny",
+    "dmitri": "dima mitya",
+    "dolores": "lola lolita",
     "edward": "ed eddie ted ned eddy teddy",
     "ekaterina": "katya",
     "elizabeth": "liz beth betty eliza lizzie lisa betsy",
-    "francisco": "paco pancho fran cisco",
+    "francisco": "paco pancho fran curro",
     "friedrich": "fritz fred",
-    "giuseppe": "beppe peppe",
+    "giuseppe": "beppe peppe pino",
     "gregory": "greg",
     "guadalupe": "lupe",
     "henry": "harry hank hal",
@@ -31,33 +33,43 @@ NICKNAMES = {
     "jennifer": "jen jenny jenn",
     "johannes": "hans johan",
     "jose": "pepe",
-    "josef": "joe sepp",
+    "josef": "joe sepp jupp",
     "katherine": "kate kathy katie kat kit kath",
     "margaret": "maggie meg peggy marge greta",
     "maximilian": "max",
     "michael": "mike mick mickey mitch",
     "mikhail": "misha",
-    "nicholas": "nick nicky",
+    "nicholas": "nick nicky klaus nico",
     "patricia": "pat patty tricia trish",
     "rebecca": "becky becca",
     "richard": "rick dick rich ricky",
     "robert": "bob rob bobby robbie bert",
     "samantha": "sam sammy",
     "sofia": "sophie",
-    "susannah": "sue susan susie suzy",
+    "susannah": "sue susan susie suzy susi",
     "theodore": "ted theo teddy",
     "thomas": "tom tommy",
     "victoria": "vicky tori vicki",
     "vladislav": "vlad slava",
     "william": "bill will liam billy willy",
 }
+
+
+def plain(token: str) -> str:
+    """ue, oe and ae as u, o and a, so that both ways of writing an umlaut agree."""
+    return token.replace("ue", "u").replace("oe", "o").replace("ae", "a")
+
+
 FORMAL: dict[str, frozenset[str]] = {}
 for _formal, _short in NICKNAMES.items():
     for _s in _short.split():
-        FORMAL[_s] = FORMAL.get(_s, frozenset()) | {_formal}
+        FORMAL[plain(_s)] = FORMAL.get(plain(_s), frozenset()) | {plain(_formal)}
+
+# Particles of family names.
+PARTICLES = frozenset("de la del las los von van der den da di do dos du le el y zu zum ter ten".split())
 
 # Titles before a name.
-TITLES = frozenset("dr prof mr mrs ms miss mme mlle m herr frau hr fr sr sra srta don dona ing dipl mag sir dott dra professor doctor".split())
+TITLES = frozenset("dr prof mr mrs ms miss mme mlle herr frau hr fr sr sra srta don dona ing dipl mag sir dott dra professor doctor".split())
 
 
 def fold(text: str) -> str:
@@ -74,10 +86,6 @@ def squash(text: str) -> str:
     return _NOT_WORD.sub("", fold(text))
 
 
-def _umlauts(token: str) -> str:
-    return token.replace("ue", "u").replace("oe", "o").replace("ae", "a")
-
-
 _SPACES = re.compile(r"[\s ]+")
 _PIECE = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\.?")
 
@@ -86,7 +94,7 @@ def name_parts(text: str | None) -> tuple[str, str, tuple[str, ...]]:
     """(given, family, others) of a person's name in any usual order, folded; '' where there is none.
 
     "Family, Given" and "FAMILY Given" are turned round; titles are dropped; hyphens are
-    joined; ue, oe, ae count as u, o, a, so that both ways of writing an umlaut agree.
+    joined, particles (von, de la) left out; ue, oe, ae count as u, o, a, so that both ways of writing an umlaut agree.
     """
     if not text:
         return "", "", ()
@@ -100,8 +108,8 @@ def name_parts(text: str | None) -> tuple[str, str, tuple[str, ...]]:
     tokens, marks = [], []
     for part, half in enumerate(halves):
         for raw in _PIECE.findall(half):
-            token = _umlauts(squash(raw))
-            if token and not (token in TITLES and (raw.endswith(".") or len(token) > 1) and not (len(halves) == 1 and len(tokens) >= 1)):
+            token = plain(squash(raw))
+            if token and not (token in PARTICLES and len(token) > 1) and not (token in TITLES and (raw.endswith(".") or len(token) > 1) and not (len(halves) == 1 and len(tokens) >= 1)):
                 tokens.append(token)
                 marks.append((part, raw.rstrip(".")))
     if not tokens:
