@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.names import FORMAL, edits, fold, squash
+from siftwell.functions.names import FORMAL, edits, fold, plain, squash
 from siftwell.operators.skew import lookup_join
 
 UNMATCHED = "(unmatched)"
@@ -98,7 +98,7 @@ def spellings(field: str, canonical: str) -> Iterator[str]:
         first, _, last = canonical.partition(" ")
         if last:
             own = fold(first)
-            for given in [own, *(short for short, formal in FORMAL.items() if own in formal)]:
+            for given in [own, *(short for short, formal in FORMAL.items() if plain(own) in formal)]:
                 yield from (f"{given} {last}", f"{last} {given}", f"{given} {last[0]}")
             yield from (f"{own[0]} {last}", f"{last} {own[0]}", f"{last} {own}"[: len(last) + 2])
 

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import canonical, encoding, grouping, mixing
+from siftwell.llm import canonical, encoding, grouping, incremental, mixing, variants
 from siftwell.session import materialise, table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = table(spark, sf_dir, "leads")
+    history = incremental.DuplicateIndex.build(leads.filter("coalesce(batch_no, 0) < 1"))
+    found, _ = history.check(leads.filter("batch_no >= 1"))
+    return found
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.group_links(grouping.same_verdicts(table(spark, sf_dir, "match_pairs")))
 
@@ -16,6 +23,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_values(table(spark, sf_dir, "leads"), table(spark, sf_dir, "ref_values"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_pairs(table(spark, sf_dir, "leads"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -39,7 +50,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p5_found, p8_ids, p8_decoded, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p6_found, p8_ids, p8_decoded, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
