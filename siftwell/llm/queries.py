@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import canonical, encoding, grouping, incremental, mixing, variants
+from siftwell.llm import canonical, encoding, grouping, incremental, mixing, residue, variants
 from siftwell.session import materialise, table
 
 
@@ -49,8 +49,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.score_records(table(spark, sf_dir, "documents")).filter("residue").select("doc_id")
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are no residue, with their texts."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(p10_found(spark, sf_dir), "doc_id", "left_anti").select("doc_id", "text", "source")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p6_found, p8_ids, p8_decoded, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p6_found, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
