@@ -3,11 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm import canonical, encoding, grouping, incremental, mixing, residue, variants
+from siftwell.llm import canonical, encoding, grouping, incremental, mixing, pii, residue, survivors, variants
 from siftwell.session import materialise, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(table(spark, sf_dir, "leads"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "leads"))
+
+
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = materialise(p4_found(spark, sf_dir), "groups")
+    return survivors.survivors(table(spark, sf_dir, "leads"), groups, table(spark, sf_dir, "origins"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir).filter("decided").select("group_id", "field", "id")
+
+
+def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One surviving record per group: the chosen job_title and lead_score, the leads they come from, all titles judged true."""
+    chosen = _survivors(spark, sf_dir)
+    of = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
+    return chosen.groupBy("group_id").agg(
+        of("job_title", "value").alias("job_title"), of("job_title", "id").alias("job_title_from"), of("job_title", "kept").alias("job_titles"),
+        of("lead_score", "value").cast("int").alias("lead_score"), of("lead_score", "id").alias("lead_score_from"),
+    )
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads = table(spark, sf_dir, "leads")
     history = incremental.DuplicateIndex.build(leads.filter("coalesce(batch_no, 0) < 1"))
@@ -60,7 +88,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p6_found, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_clean)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_survivors, p3_found, p4_found, p5_found, p6_found, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
