@@ -84,9 +84,12 @@ def evidence_rows(people: DataFrame) -> DataFrame:
     return rows.mapInPandas(add, _ROWS)
 
 
+_CLASS = ["ev", "given", "family"]
+
+
 def one_per_name(rows: DataFrame) -> DataFrame:
-    """The rows of the block tables before rotation: per evidence and name the smallest id."""
-    return rows.groupBy("ev", "given", "family").agg(F.min(F.struct("id", "batch_no")).alias("m"), F.first("fp").alias("fp"), F.first("tables").alias("tables"), F.first("initials").alias("initials")).select("ev", "given", "family", "m.id", "m.batch_no", "fp", "tables", "initials")
+    """The rows of the block tables before rotation: per evidence and name the smallest id, and the number n of leads."""
+    return rows.groupBy(*_CLASS, "fp", "tables", "initials").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
 
 
 def rotated(names: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def rotated(names: DataFrame) -> DataFrame:
     bits = lambda r: F.shiftrightunsigned("fp", 16 * r).bitwiseAND(F.lit(0xFFFF))
     key = lambda r: F.xxhash64("ev", F.lit(r), bits(r), F.substring("initials", -1, 1) if r == 1 else F.lit(""))
     keys = F.array(*[key(r) for r in range(4)])
-    return names.select(F.explode(F.slice(keys, F.lit(1), F.col("tables"))).alias("key"), "id", "batch_no", "given", "family", "fp")
+    return names.select(F.explode(F.slice(keys, F.lit(1), F.col("tables"))).alias("key"), "id", "given", "family", "fp")
 
 
 def verified(pairs: DataFrame, given_names: list[str]) -> DataFrame:
@@ -107,7 +110,7 @@ def verified(pairs: DataFrame, given_names: list[str]) -> DataFrame:
             mask = [ok(*row) for row in zip(x["given_a"], x["family_a"], x["given_b"], x["family_b"], strict=True)]
             yield x.loc[mask, ["a", "b"]]
 
-    return pairs.mapInPandas(keep, "a bigint, b bigint")
+    return pairs.mapInPandas(keep, "a bigint, b bigint").distinct()
 
 
 def lookup(new: DataFrame, stored: DataFrame, given_names: list[str], most_bits: int = MOST_BITS) -> DataFrame:
@@ -115,14 +118,14 @@ def lookup(new: DataFrame, stored: DataFrame, given_names: list[str], most_bits:
     left = new.select("key", F.col("id").alias("id_a"), F.col("given").alias("given_a"), F.col("family").alias("family_a"), F.col("fp").alias("fp_a"))
     right = stored.select("key", F.col("id").alias("id_b"), F.col("given").alias("given_b"), F.col("family").alias("family_b"), F.col("fp").alias("fp_b"))
     near = left.join(right, "key").filter((F.col("id_a") != F.col("id_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= most_bits))
-    pairs = near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "given_a", "family_a", "given_b", "family_b").dropDuplicates(["a", "b"])
+    pairs = near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "given_a", "family_a", "given_b", "family_b").distinct()
     return verified(pairs, given_names)
 
 
 def name_links(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Links of leads with the row that stands for their evidence and name."""
-    first = names.select("ev", "given", "family", F.col("id").alias("a"))
-    return lookup_join(rows.select("ev", "given", "family", F.col("id").alias("b")), first, ["ev", "given", "family"], "inner").filter("a <> b").select("a", "b")
+    """Links of leads with the row that stands for their evidence and name; only hashes of the two are shuffled."""
+    first = names.filter("n > 1").select(F.xxhash64(*_CLASS).alias("c"), F.col("id").alias("a")).groupBy("c").agg(F.min("a").alias("a"))
+    return lookup_join(rows.select(F.xxhash64(*_CLASS).alias("c"), F.col("id").alias("b")), first, ["c"], "inner").filter("a <> b").select("a", "b")
 
 
 def nameless_links(people: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ Averages are over the pairs the join found; a pair without common evidence count
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,61 +30,98 @@ from siftwell.session import materialise, release
 CELLS = 1 << 16
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct hashed trigrams of text with one blank around each word."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.array_distinct(F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(CELLS)).cast("int")))
+@lru_cache(maxsize=200_000)
+def _cell(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8")) % CELLS
+
+
+@lru_cache(maxsize=200_000)
+def _word_cells(word: str) -> tuple[int, ...]:
+    padded = f" {word} "
+    return tuple(_cell(padded[i : i + 3]) for i in range(max(1, len(padded) - 2)))
+
+
+def trigrams(text: str) -> set[int]:
+    """The distinct hashed trigrams of the words of text, with one blank around each."""
+    return {c for word in text.split(" ") for c in _word_cells(word)}
 
 
 def gram_weights(texts: DataFrame, text: str) -> np.ndarray:
-    """The weight of each cell: 1 + ln((n + 1) / (df + 1)), over all rows of texts."""
-    found = texts.select(F.explode(trigrams(F.col(text))).alias("g")).groupBy("g").count().collect()
-    total = texts.count()
-    weights = np.full(CELLS, 1 + np.log(total + 1.0))
-    for r in found:
-        weights[r["g"]] = 1 + np.log((total + 1) / (r["count"] + 1))
-    return weights
-
-
-def heads(rows: DataFrame, text: str, weights: np.ndarray, threshold: float) -> DataFrame:
-    """rows with one more column, `gram`: one row per trigram in the head of text's vector."""
-    spark = rows.sparkSession
-    table = F.broadcast(spark.createDataFrame(pd.DataFrame({"_all": [weights.tolist()]}), "_all array<double>"))
-    v = F.transform(trigrams(F.col(text)), lambda g: F.struct(F.element_at("_all", g + 1).alias("w"), g.alias("g")))
-    ranked = rows.crossJoin(table).withColumn("_v", F.array_sort(v, lambda x, y: F.when(x["w"] > y["w"], -1).when(x["w"] < y["w"], 1).otherwise(x["g"] - y["g"]))).drop("_all")
-    whole = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("k"))
-    kept = F.aggregate("_v", start, lambda s, x: F.struct((s["s"] + x["w"] * x["w"]).alias("s"), F.when(F.col("_n") - s["s"] >= threshold * threshold * F.col("_n") * (1 - 1e-9), F.concat(s["k"], F.array(x["g"]))).otherwise(s["k"]).alias("k")))
-    return ranked.withColumn("_n", whole).withColumn("gram", F.explode(kept["k"])).drop("_v", "_n")
+    """The weight of each cell: 1 + ln((n + 1) / (df + 1)), over all rows of texts; the counts are at most CELLS + 1 rows."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, rows = np.zeros(CELLS, np.int64), 0
+        for b in batches:
+            cells = [c for t in b["t"] for c in trigrams(t)]
+            seen += np.bincount(np.array(cells, dtype=np.int64), minlength=CELLS)
+            rows += len(b)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"g": [-1, *at], "n": [rows, *seen[at]]})
+
+    found = texts.select(F.col(text).alias("t")).mapInPandas(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(CELLS)
+    df[found["g"][found["g"] >= 0]] = found["n"][found["g"] >= 0]
+    return 1 + np.log((found["n"][found["g"] < 0].sum() + 1.0) / (df + 1.0))
+
+
+def heads(rows: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """(key, n) for rows (w, n, t): one row per trigram in the head of t's vector, its key hashed with w."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        square = weights * weights
+
+        @lru_cache(maxsize=100_000)
+        def head(text: str) -> list[int]:
+            cells = sorted(trigrams(text), key=lambda c: (-weights[c], c))
+            whole = rest = float(sum(square[c] for c in cells))
+            kept = []
+            for c in cells:
+                if rest < threshold * threshold * whole * (1 - 1e-9):
+                    break
+                kept.append(c)
+                rest -= square[c]
+            return kept
+
+        for b in batches:
+            own = [head(t) for t in b["t"]]
+            sizes = [len(o) for o in own]
+            cells = np.array([c for o in own for c in o], dtype=np.uint64)
+            within = np.repeat(b["w"].to_numpy(np.int64).view(np.uint64), sizes)
+            key = (within ^ (cells + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+            yield pd.DataFrame({"key": key.view(np.int64), "n": np.repeat(b["n"].to_numpy(), sizes)})
+
+    return rows.mapInPandas(cut, "key bigint, n bigint")
 
 
 class Cosine:
-    """The cosine of two texts under the weights, in plain numpy on their sorted cells; for Arrow batches."""
+    """The cosine of two texts under the weights."""
 
     def __init__(self, weights: np.ndarray) -> None:
-        import xxhash  # the JVM's xxhash64 of a string with its seed 42
-
-        self.weights, self.hash = weights, xxhash.xxh64_intdigest
+        self.square = weights * weights
         self.vector = lru_cache(maxsize=100_000)(self._vector)
 
-    def _vector(self, text: str) -> tuple[frozenset[int], float]:
-        padded = f" {text} "
-        cells = frozenset(self.hash(padded[i : i + 3].encode(), seed=42) % CELLS for i in range(max(1, len(padded) - 2)))
-        return cells, float(np.sqrt(sum(self.weights[c] ** 2 for c in cells)))
+    def _vector(self, text: str) -> tuple[set[int], float]:
+        cells = trigrams(text)
+        return cells, float(np.sqrt(sum(self.square[c] for c in cells)))
 
     def __call__(self, a: str, b: str) -> float:
         (x, nx), (y, ny) = self.vector(a), self.vector(b)
-        return float(sum(self.weights[c] ** 2 for c in x & y) / (nx * ny))
+        return float(sum(self.square[c] for c in x & y) / (nx * ny))
 
 
-def cosine_pairs(rows: DataFrame, text: str, node: str, weights: np.ndarray, threshold: float, within: str | None = None) -> DataFrame:
-    """Candidate pairs (a, b, text_a, text_b), a < b, of nodes with different texts that share a head trigram (and `within`)."""
-    keys = ([within] if within else []) + ["gram"]
-    table = heads(rows.select(*([within] if within else []), F.col(node).alias("n"), F.col(text).alias("t")), "t", weights, threshold)
-    left = table.select(*keys, F.col("n").alias("a"), F.col("t").alias("text_a"))
-    right = table.select(*keys, F.col("n").alias("b"), F.col("t").alias("text_b"))
-    return left.join(right, keys).filter((F.col("a") < F.col("b")) & (F.col("text_a") != F.col("text_b"))).select("a", "b", "text_a", "text_b").dropDuplicates(["a", "b"])
+def cosine_pairs(rows: DataFrame, weights: np.ndarray, threshold: float, left: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (a, b, text_a, text_b), a < b, of nodes n of rows (w, n, t) with different texts that share a head trigram and w.
+
+    Only hashed keys and nodes are shuffled for the join; the texts are fetched for the pairs found. A node stands for one text. left: the rows of which one must be in each pair; all by default.
+    """
+    table = heads(rows, weights, threshold)
+    own = table if left is None else heads(left, weights, threshold)
+    pairs = own.select("key", F.col("n").alias("a")).join(table.select("key", F.col("n").alias("b")), "key")
+    pairs = pairs.filter("a < b") if left is None else pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.select("a", "b").distinct()
+    text = rows.groupBy("n").agg(F.min("t").alias("t"))
+    texts = lambda side: text.select(F.col("n").alias(side), F.col("t").alias(f"text_{side}"))
+    return pairs.join(texts("a"), "a").join(texts("b"), "b").filter("text_a <> text_b").select("a", "b", "text_a", "text_b")
 
 
 def average_linkage(edges: DataFrame, threshold: float, max_rounds: int = 200) -> DataFrame:
@@ -136,8 +174,8 @@ def scored_names(pairs: DataFrame, weights: np.ndarray, threshold: float, given_
 
 
 #: One typing error leaves a cosine of about 0.5 in short names; an initial for the given name about as much.
-PERSON_COSINE, PERSON_LINKAGE = 0.3, 0.3
-FIRM_COSINE, FIRM_LINKAGE = 0.35, 0.35
+PERSON_COSINE, PERSON_LINKAGE = 0.45, 0.3
+FIRM_COSINE, FIRM_LINKAGE = 0.45, 0.35
 
 
 def link_persons(leads: DataFrame, threshold: float = PERSON_COSINE, linkage: float = PERSON_LINKAGE) -> DataFrame:
@@ -153,12 +191,14 @@ def link_persons(leads: DataFrame, threshold: float = PERSON_COSINE, linkage: fl
     same = name_links(rows, names).unionByName(nameless_links(people))
     one = materialise(group_links(same, group="node"), "nodes")  # leads of the same name and evidence, directly or through others
     several = names.join(names.groupBy("ev").count().filter("count > 1").select("ev"), "ev", "left_semi")
-    full = F.udf(lambda g: min(formal(g)) if g else "", T.StringType())
-    pets = several.select("given").distinct().withColumn("full", full("given"))
+    def full(given: pd.Series) -> pd.Series:
+        return given.map(lambda x: min(formal(x)) if x else "")
+
+    pets = several.select("given").distinct().withColumn("full", F.pandas_udf(full, T.StringType())("given"))
     nodes = several.join(pets, "given").join(one.select("id", "node"), "id", "left").select("ev", F.coalesce("node", "id").alias("node"), F.concat_ws(" ", "full", "family").alias("text")).distinct()
     nodes = materialise(nodes, "nodes")
     weights = gram_weights(nodes.select("text").distinct(), "text")
-    pairs = cosine_pairs(nodes, "text", "node", weights, threshold, "ev")
+    pairs = cosine_pairs(nodes.select(F.col("ev").alias("w"), F.col("node").alias("n"), F.col("text").alias("t")), weights, threshold)
     edges = scored_names(pairs, weights, threshold, given_names)
     alike = nodes.groupBy("ev", "text").agg(F.min("node").alias("a"), F.collect_set("node").alias("bs")).select("a", F.explode("bs").alias("b"), F.lit(1.0).alias("sim")).filter("a <> b")
     clusters = materialise(average_linkage(edges.unionByName(alike), linkage), "clusters")
@@ -190,10 +230,9 @@ def link_firms(leads: DataFrame, threshold: float = FIRM_COSINE, linkage: float
     texts = materialise(votes.mapInPandas(read, "text string, core string, sure boolean, n bigint"), "firms")
     cores = materialise(texts.groupBy("core").agg(F.max("sure").alias("sure"), F.sum("n").alias("n")).withColumn("node", F.xxhash64("core")), "cores")
     weights = gram_weights(cores, "core")
-    # A typing error is not spelled by a domain: only pairs with at most one sure side are compared.
-    sides = cosine_pairs(cores, "core", "node", weights, threshold)
-    sure = cores.filter("sure").select(F.col("node").alias("a"), F.lit(True).alias("sure_a"))
-    pairs = sides.join(sure, "a", "left").join(sure.select(F.col("a").alias("b"), F.col("sure_a").alias("sure_b")), "b", "left").filter("sure_a is null or sure_b is null")
+    # A typing error is not spelled by a domain: one side of each pair must be without a domain that spells it.
+    sides = lambda df: df.select(F.lit(0).cast("bigint").alias("w"), F.col("node").alias("n"), F.col("core").alias("t"))
+    pairs = cosine_pairs(sides(cores), weights, threshold, sides(cores.filter("not sure")))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cosine = Cosine(weights)
@@ -205,7 +244,7 @@ def link_firms(leads: DataFrame, threshold: float = FIRM_COSINE, linkage: float
                 sims.append(v if v >= threshold and most and edits(a, b, most) <= most else -1.0)
             yield x[["a", "b"]].assign(sim=sims)[lambda y: y["sim"] >= 0]
 
-    edges = pairs.select("a", "b", "text_a", "text_b").mapInPandas(score, "a bigint, b bigint, sim double")
+    edges = pairs.mapInPandas(score, "a bigint, b bigint, sim double")
     clusters = average_linkage(edges, linkage)
     firm = cores.join(clusters.withColumnRenamed("cluster", "c"), "node", "left").select("core", F.coalesce("c", "node").alias("firm"))
     return texts.join(firm, "core").select("firm", "text")
