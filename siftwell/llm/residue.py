@@ -31,7 +31,7 @@ CELLS = 1 << 18
 #: What a slot for a value looks like when nobody filled it, whatever the template language.
 _NAME = r"\s*[^\W\d][\w .']{0,40}?\s*"
 SLOT = re.compile(
-    rf"\{{\{{{_NAME}\}}\}}|\$\{{{_NAME}\}}|\{{!{_NAME}\}}|\{{{_NAME}\}}|\[\[{_NAME}\]\]|\[{_NAME}\]|<<{_NAME}>>|<%=?{_NAME}%>|<{_NAME}>"
+    rf"\{{\{{{_NAME}\}}\}}|\$\{{{_NAME}\}}|\{{!{_NAME}\}}|\{{{_NAME}\}}|\[\[{_NAME}\]\]|\[{_NAME}\]|<<{_NAME}>>|<%=?{_NAME}%>|<[^\W\d][\w .']{{0,40}}?(?<! )>"
     rf"|\*\|{_NAME}\|\*|%[^\W\d][\w.]*(?: [\w.]+)?%|##{_NAME}##|@@{_NAME}@@|\b__[^\W_][\w .]{{0,40}}?__(?!\w)|(?<![\w])_{{5,}}(?![\w])|\b(?:undefined|null|NaN|None)\b"
 )
 _SLOT_KIND = {"{": "brace", "$": "dollar", "[": "bracket", "<": "angle", "%": "percent", "#": "hash", "@": "at", "_": "bar", "*": "star"}
