@@ -9,6 +9,12 @@ from siftwell.operators.skew import lookup_join
 from siftwell.session import materialise, release
 
 
+def _mark(edges: DataFrame) -> tuple[int, int]:
+    """Number and order-free hash of the edges, in one aggregation."""
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    return row["n"], int(row["h"])
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, root) of every end of a link between two different ids; root is the smallest id of the component.
 
@@ -17,6 +23,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     edges = materialise(edges, "edges")
+    state = _mark(edges)
     nodes = materialise(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,11 +32,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = lookup_join(large, low, ["u"], "inner").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         after = materialise(small, "edges")
-        same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
+        now = _mark(after)
         release(edges)
         edges = after
-        if same:
+        if now == state:
             break
+        state = now
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     return nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
