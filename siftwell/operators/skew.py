@@ -10,29 +10,31 @@ HOT_SHARE = 0.002
 HOT_LEAST = 20_000
 
 
-def hot_keys(rows: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = HOT_LEAST) -> list:
+def hot_keys(rows: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = HOT_LEAST, counts: DataFrame | None = None) -> list:
     """The keys that hold more than `share` of the rows (and more than `least` rows): at most 1 / share of them.
 
     The counts are partially aggregated before the shuffle; only the hot keys, whose number
-    is bounded by 1 / share, reach the driver. A null key is never hot.
+    is bounded by 1 / share, reach the driver. A null key is never hot. counts: the number of rows, _n,
+    of each key, where the caller has it.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = counts.filter(F.col("_n") > least)
     for k in keys:
         heavy = heavy.filter(F.col(k).isNotNull())
     found = heavy.collect()
     if not found:
         return []
-    total = rows.count()
+    total = counts.agg(F.sum("_n")).first()[0]
     return [r for r in found if r["_n"] > share * total]
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", share: float = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", share: float = HOT_SHARE, least: int = HOT_LEAST, counts: DataFrame | None = None) -> DataFrame:
     """rows joined to a lookup that is unique on keys. Hot keys (at most 1 / share) meet a broadcast part of the lookup, all others a shuffled one.
 
-    Null keys: kept without a match for how='left', dropped for 'inner'.
+    Null keys: kept without a match for how='left', dropped for 'inner'. counts: see hot_keys.
     """
-    hot = hot_keys(rows, keys, share, least)
+    hot = hot_keys(rows, keys, share, least, counts)
     if not hot:
         return rows.join(lookup, keys, how)
     spark = rows.sparkSession
