@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.operators.skew import lookup_join
+from siftwell.session import materialise
 
 # Fixed value: the pre-token pattern of the byte-level BPE vocabularies, in Java's syntax. White space is written out
 # as Unicode's White_Space, which is what the tokenizers' \s means.
@@ -92,8 +93,9 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     unknown = F.coalesce(F.rlike("_text", F.lit(r"\p{Cn}")), F.lit(False))
     tokens = filled.filter(~unknown).select("_key", "_h", "_copies", F.posexplode(pretokens(F.col("_text"))).alias("_pos", "word"))
     tokens = tokens.unionByName(_pretokens_elsewhere(filled.filter(unknown)))
-    ids = encode_words(tokens.select("word").distinct(), path)
-    joined = lookup_join(tokens, ids, ["word"], "inner")
+    words = materialise(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "words")  # both the distinct words and what is hot among them
+    ids = encode_words(words, path)
+    joined = lookup_join(tokens, ids, ["word"], "inner", counts=words)
     parts = joined.groupBy("_key", "_h", "_copies").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     empty = filled.filter("_text is null or _text = ''").select("_key", "_h", "_copies", F.array().cast("array<int>").alias("ids"))
     every = parts.unionByName(empty)
