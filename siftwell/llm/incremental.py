@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.llm.grouping import group_links
-from siftwell.llm.people import formal, given_name_table, identities, same_name
+from siftwell.functions.names import FORMAL
+from siftwell.llm.people import full_form, given_name_table, identities, same_name
 from siftwell.operators.skew import lookup_join
 from siftwell.session import materialise
 
@@ -51,7 +52,7 @@ def block(text: str, salt: int) -> int:
 
 def fingerprint(given: str, family: str) -> int:
     """The signed 64-bit fingerprint: family, given name (its full form), beginning and end of the family name with the initial."""
-    full = min(formal(given)) if given else ""
+    full = full_form(given)
     parts = (family, full, full[:1] + family[:4], full[:1] + family[-4:])
     value = sum(block(p, i * 7919 + 17) << (16 * i) for i, p in enumerate(parts))
     return value - (1 << 64) if value >= 1 << 63 else value
@@ -64,8 +65,12 @@ _ROWS = T.StructType([
 ])
 
 
-def evidence_rows(people: DataFrame) -> DataFrame:
-    """One row per named lead and piece of evidence, with the fingerprint of the name."""
+def evidence_rows(people: DataFrame, either_order: list[str] | None = None) -> DataFrame:
+    """One row per named lead and piece of evidence, with the fingerprint of the name.
+
+    either_order: the given names in use; a name of which neither or each part is one may be written in either order and has a row for both.
+    """
+    known = None if either_order is None else frozenset(either_order) | frozenset(FORMAL)
     named = people.filter("family <> ''")
     piece = lambda kind, value, tables: F.struct(F.xxhash64(F.lit(kind), value).alias("ev"), F.lit(tables).alias("tables"))
     pieces = F.concat(
@@ -78,8 +83,11 @@ def evidence_rows(people: DataFrame) -> DataFrame:
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = lru_cache(maxsize=50_000)(fingerprint)
         for b in batches:
+            if known is not None:
+                turn = [len(g) > 2 and len(f) > 2 and (g in known) == (f in known) for g, f in zip(b["given"], b["family"], strict=True)]
+                b = pd.concat([b, b[turn].rename(columns={"given": "family", "family": "given"})], ignore_index=True)
             pairs = list(zip(b["given"], b["family"], strict=True))
-            yield b.assign(fp=[one(g, f) for g, f in pairs], initials=[(min(formal(g))[:1] if g else "") + f[:1] for g, f in pairs])[[f.name for f in _ROWS]]
+            yield b.assign(fp=[one(g, f) for g, f in pairs], initials=[full_form(g)[:1] + f[:1] for g, f in pairs])[[f.name for f in _ROWS]]
 
     return rows.mapInPandas(add, _ROWS)
 
@@ -151,7 +159,7 @@ class DuplicateIndex:
     def build(cls, leads: DataFrame) -> DuplicateIndex:
         given_names = given_name_table(leads)
         people = materialise(identities(leads, given_names), "people")
-        rows = materialise(evidence_rows(people), "evidence")
+        rows = materialise(evidence_rows(people, given_names), "evidence")
         names = materialise(one_per_name(rows), "names")
         tables = rotated(names)
         links = name_links(rows, names).unionByName(lookup(tables, tables, given_names)).unionByName(nameless_links(people))
@@ -165,7 +173,7 @@ class DuplicateIndex:
         columns of the batch are ignored; an empty batch finds nothing.
         """
         fresh = materialise(identities(leads, self.given_names), "people")
-        rows = materialise(evidence_rows(fresh), "evidence")
+        rows = materialise(evidence_rows(fresh, self.given_names), "evidence")
         own = materialise(one_per_name(rows), "names")
         stored = self.names.unionByName(own)
         tables = rotated(own)

@@ -97,6 +97,11 @@ def formal(given: str) -> frozenset[str]:
     return FORMAL.get(given, frozenset()) | {given}
 
 
+def full_form(given: str) -> str:
+    """The full name behind a pet form, the first in order of several; any other name as it is."""
+    return min(FORMAL[given]) if given in FORMAL else given
+
+
 def same_given(a: str, b: str, given_names: frozenset[str]) -> bool:
     if a == b:
         return True

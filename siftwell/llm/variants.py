@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from siftwell.functions.names import edits
 from siftwell.llm.grouping import group_links
 from siftwell.llm.incremental import evidence_rows, name_links, nameless_links, one_per_name
-from siftwell.llm.people import domain_core, firm_core, formal, given_name_table, identities, same_name
+from siftwell.llm.people import domain_core, firm_core, full_form, given_name_table, identities, same_name
 from siftwell.session import materialise, release
 
 #: Trigrams are hashed into so many cells: the table of weights has at most this many rows.
@@ -192,7 +192,7 @@ def link_persons(leads: DataFrame, threshold: float = PERSON_COSINE, linkage: fl
     one = materialise(group_links(same, group="node"), "nodes")  # leads of the same name and evidence, directly or through others
     several = names.join(names.groupBy("ev").count().filter("count > 1").select("ev"), "ev", "left_semi")
     def full(given: pd.Series) -> pd.Series:
-        return given.map(lambda x: min(formal(x)) if x else "")
+        return given.map(lambda x: full_form(x))
 
     pets = several.select("given").distinct().withColumn("full", F.pandas_udf(full, T.StringType())("given"))
     nodes = several.join(pets, "given").join(one.select("id", "node"), "id", "left").select("ev", F.coalesce("node", "id").alias("node"), F.concat_ws(" ", "full", "family").alias("text")).distinct()

@@ -117,6 +117,31 @@ def test_new_batches_against_history(spark):
     assert incremental.DuplicateIndex.build(leads.limit(0)).check(leads.filter("batch_no = 4"))[0].count() == 0
 
 
+def test_recall_of_the_index_against_brute_force(spark):
+    """Of all pairs that share evidence and whose names can be one person's, nearly all end in one person."""
+    import itertools
+
+    from siftwell.llm.people import given_name_table, identities
+
+    leads = spark.read.parquet("/root/testdata/sf0.01/leads.parquet")
+    names = given_name_table(leads)
+    index = incremental.DuplicateIndex.build(leads)
+    who = {r["id"]: r["person"] for r in index.persons.collect()}
+    by = {}
+    for r in identities(leads, names).collect():
+        if r["family"]:
+            for e in [("m", r["mailbox"]), ("l", r["line"]), *(("f", f) for f in r["firms"])]:
+                if e[1]:
+                    by.setdefault(e, []).append((r["id"], (r["given"], r["family"])))
+    known, found, every = frozenset(names), 0, 0
+    for own in by.values():
+        for (i, a), (j, b) in itertools.combinations(own, 2):
+            if same_name(a, b, known):
+                every += 1
+                found += i in who and who.get(i) == who.get(j)
+    assert every > 500 and found / every >= 0.95
+
+
 def test_variant_pairs(spark):
     got = {tuple(r) for r in variants.variant_pairs(people_of(spark, PEOPLE)).collect()}
     assert {("person", "1", "2"), ("person", "1", "3"), ("person", "1", "8")} <= got
