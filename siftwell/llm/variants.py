@@ -5,18 +5,20 @@ with a cosine of at least t must share one of the rare trigrams at the head of e
 global order, until what is left has a norm below t; the join is on those alone. An exact check
 follows, and what remains is grouped by average linkage: reciprocal nearest clusters merge in
 parallel rounds, which for average linkage gives the same tree as merging one pair at a time.
-Averages are over the pairs the join found; a pair without common evidence counts neither for nor against.
+Averages are over all pairs with common evidence in a connected part, refused ones with 0, or with
+their cosine where both can still be misspellings of one third text; a pair
+without common evidence counts neither for nor against.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,8 +160,8 @@ def average_linkage(edges: DataFrame, threshold: float, max_rounds: int = 200) -
     return nodes.join(roots, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
-def scored_names(pairs: DataFrame, weights: np.ndarray, threshold: float, given_names: list[str]) -> DataFrame:
-    known = frozenset(given_names)
+def judged(pairs: DataFrame, weights: np.ndarray, accept: Callable[[str, str], bool | None], threshold: float = 0.0, refused: bool = False) -> DataFrame:
+    """(a, b, sim) of pairs (a, b, text_a, text_b): (1 + cosine) / 2 of those with at least the threshold that accept() takes; refused: the others too, with 0, or the cosine where it leaves them open (None)."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cosine = Cosine(weights)
@@ -167,15 +169,37 @@ def scored_names(pairs: DataFrame, weights: np.ndarray, threshold: float, given_
             sims = []
             for a, b in zip(x["text_a"], x["text_b"], strict=True):
                 v = cosine(a, b)
-                sims.append(v if v >= threshold and same_name(tuple(a.split(" ", 1)), tuple(b.split(" ", 1)), known) else -1.0)
-            yield x[["a", "b"]].assign(sim=sims)[lambda y: y["sim"] >= 0]
+                verdict = accept(a, b) if v >= threshold else False
+                sims.append((1 + v) / 2 if verdict else v if verdict is None and refused else 0.0)
+            out = x[["a", "b"]].assign(sim=sims)
+            yield out if refused else out[out["sim"] > 0]
 
     return pairs.mapInPandas(score, "a bigint, b bigint, sim double")
 
 
+def linked(edges: DataFrame, rows: DataFrame, weights: np.ndarray, accept: Callable[[str, str], bool | None], linkage: float) -> DataFrame:
+    """(node, cluster) of every node of the accepted edges (a, b, ...).
+
+    rows: (w, n, t, sure); two sure nodes are never one. Parts of two nodes, and those without a refused pair, are one
+    cluster. In the others every pair that shares w is judged, whatever its cosine, and average linkage decides.
+    """
+    parts = materialise(group_links(edges, group="part", member="node"), "parts")
+    large = parts.groupBy("part").count().filter("count > 2").select("part")
+    text = F.min("t").over(Window.partitionBy("n"))
+    own = materialise(rows.join(parts.join(large, "part", "left_semi").withColumnRenamed("node", "n"), "n").withColumn("t", text).distinct(), "own")
+    side = lambda s: own.select("part", "w", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "t", "sure")])
+    pairs = side("a").join(side("b"), ["part", "w"]).filter("n_a < n_b").select("part", F.col("n_a").alias("a"), F.col("n_b").alias("b"), F.col("t_a").alias("text_a"), F.col("t_b").alias("text_b"), (F.col("sure_a") & F.col("sure_b")).alias("apart")).distinct()
+    checked = judged(pairs.filter("not apart"), weights, accept, refused=True).unionByName(pairs.filter("apart").select("a", "b", F.lit(0.0).alias("sim")))
+    checked = materialise(checked.join(parts.withColumnRenamed("node", "a"), "a"), "judged")
+    torn = checked.filter("sim < 0.5").select("part").distinct()
+    cut = average_linkage(checked.join(torn, "part", "left_semi").select("a", "b", "sim"), linkage)
+    return parts.join(cut, "node", "left").select("node", F.coalesce("cluster", "part").alias("cluster"))
+
+
 #: One typing error leaves a cosine of about 0.5 in short names; an initial for the given name about as much.
-PERSON_COSINE, PERSON_LINKAGE = 0.45, 0.3
-FIRM_COSINE, FIRM_LINKAGE = 0.45, 0.35
+PERSON_COSINE, FIRM_COSINE = 0.45, 0.45
+#: An accepted pair counts over 0.7, a refused one 0: a spelling joins two others that refuse each other with one of them only.
+PERSON_LINKAGE, FIRM_LINKAGE = 0.5, 0.5
 
 
 def link_persons(leads: DataFrame, threshold: float = PERSON_COSINE, linkage: float = PERSON_LINKAGE) -> DataFrame:
@@ -199,9 +223,19 @@ def link_persons(leads: DataFrame, threshold: float = PERSON_COSINE, linkage: fl
     nodes = materialise(nodes, "nodes")
     weights = gram_weights(nodes.select("text").distinct(), "text")
     pairs = cosine_pairs(nodes.select(F.col("ev").alias("w"), F.col("node").alias("n"), F.col("text").alias("t")), weights, threshold)
-    edges = scored_names(pairs, weights, threshold, given_names)
+    known = frozenset(given_names)
+
+    def accept(a: str, b: str) -> bool | None:
+        x, y = tuple(a.split(" ", 1)), tuple(b.split(" ", 1))
+        if same_name(x, y, known):
+            return True
+        most = 2 if min(len(x[1]), len(y[1])) < 5 else 4  # twice what one error may leave
+        return None if x[0] == y[0] and len(x[0]) > 1 and edits(x[1], y[1], most) <= most else False
+
+    edges = judged(pairs, weights, accept, threshold)
     alike = nodes.groupBy("ev", "text").agg(F.min("node").alias("a"), F.collect_set("node").alias("bs")).select("a", F.explode("bs").alias("b"), F.lit(1.0).alias("sim")).filter("a <> b")
-    clusters = materialise(average_linkage(edges.unionByName(alike), linkage), "clusters")
+    rows = nodes.select(F.col("ev").alias("w"), F.col("node").alias("n"), F.col("text").alias("t"), F.lit(False).alias("sure"))
+    clusters = materialise(linked(edges.unionByName(alike), rows, weights, accept, linkage), "clusters")
     first = one.join(clusters.withColumnRenamed("node", "n"), one["node"] == F.col("n"), "left").select(F.coalesce("cluster", "node").alias("person"), "id")
     rest = clusters.select(F.col("cluster").alias("person"), F.col("node").alias("id")).join(one.select("id"), "id", "left_anti").select("person", "id")
     return first.unionByName(rest)
@@ -234,18 +268,15 @@ def link_firms(leads: DataFrame, threshold: float = FIRM_COSINE, linkage: float
     sides = lambda df: df.select(F.lit(0).cast("bigint").alias("w"), F.col("node").alias("n"), F.col("core").alias("t"))
     pairs = cosine_pairs(sides(cores), weights, threshold, sides(cores.filter("not sure")))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cosine = Cosine(weights)
-        for x in batches:
-            sims = []
-            for a, b in zip(x["text_a"], x["text_b"], strict=True):
-                v, short = cosine(a, b), min(len(a), len(b))
-                most = 0 if short < 5 else 1 if short < 10 else 2
-                sims.append(v if v >= threshold and most and edits(a, b, most) <= most else -1.0)
-            yield x[["a", "b"]].assign(sim=sims)[lambda y: y["sim"] >= 0]
+    def accept(a: str, b: str) -> bool | None:
+        short = min(len(a), len(b))
+        most = 0 if short < 5 else 1 if short < 10 else 2
+        d = edits(a, b, 2 * most)
+        return most > 0 if d <= most else None if d <= 2 * most else False
 
-    edges = pairs.mapInPandas(score, "a bigint, b bigint, sim double")
-    clusters = average_linkage(edges, linkage)
+    edges = judged(pairs, weights, accept, threshold)
+    rows = cores.select(F.lit(0).cast("bigint").alias("w"), F.col("node").alias("n"), F.col("core").alias("t"), "sure")
+    clusters = linked(edges, rows, weights, accept, linkage)
     firm = cores.join(clusters.withColumnRenamed("cluster", "c"), "node", "left").select("core", F.coalesce("c", "node").alias("firm"))
     return texts.join(firm, "core").select("firm", "text")
 

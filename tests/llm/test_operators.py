@@ -151,6 +151,15 @@ def test_variant_pairs(spark):
     assert variants.variant_pairs(people_of(spark, PEOPLE).limit(0)).count() == 0
 
 
+def test_refused_pairs_hold_namesakes_apart(spark):
+    rows = [(i, 0, n, None, "+259 20 505 8925", None) for i, n in enumerate(["J Kimberlin", "Jane Kimberlin", "John Kimberlin"])]
+    rows += [(10 + i, 0, n, "e.calezano@quol.test", None, None) for i, n in enumerate(["Ebba Calezano", "Ebba Cazano", "Ebba Calezan"])]  # three edits between the last two
+    rows += [(20 + i, 0, n, None, None, None) for i, n in enumerate(f"{g} {f}" for g in ("Jane", "John", "Ebba") for f in ("Ost", "Quill", "Marwood"))]  # given names in use
+    got = {tuple(r) for r in variants.variant_pairs(people_of(spark, rows)).collect()}
+    assert ("person", "1", "2") not in got and len(got & {("person", "0", "1"), ("person", "0", "2")}) == 1
+    assert {("person", "10", "11"), ("person", "10", "12"), ("person", "11", "12")} <= got
+
+
 def test_average_linkage_against_plain(spark):
     rng = random.Random(8)
     edges = {}
