@@ -183,6 +183,7 @@ def linked(edges: DataFrame, rows: DataFrame, weights: np.ndarray, accept: Calla
     rows: (w, n, t, sure); two sure nodes are never one. Parts of two nodes, and those without a refused pair, are one
     cluster. In the others every pair that shares w is judged, whatever its cosine, and average linkage decides.
     """
+    edges = materialise(edges.select("a", "b"), "edges")
     parts = materialise(group_links(edges, group="part", member="node"), "parts")
     large = parts.groupBy("part").count().filter("count > 2").select("part")
     text = F.min("t").over(Window.partitionBy("n"))
