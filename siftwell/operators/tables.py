@@ -176,7 +176,7 @@ def apply_patches(leads: DataFrame, patches: DataFrame, today: Column | None = N
 
 
 def enrich(leads: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(id, filled, the fillable columns, notes): what matched payloads (id, fillable columns, notes) add to leads.
+    """(id, filled, the fillable columns, notes): what matched payloads (id, fillable columns, notes) add to leads; notes is a text or a list of texts. A text alone leaves the line break before it where the lead has no notes (as the SQL twin does), a list doesn't.
 
     Only blanks are filled, a note is added on a new line unless it is already contained; status and owner are never touched.
     """
@@ -184,10 +184,19 @@ def enrich(leads: DataFrame, payloads: DataFrame) -> DataFrame:
     df = leads.join(new, "id")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     fills = {c: blank(c) & ~blank(f"_{c}") for c in FILLABLE}
-    note, old = F.trim(F.coalesce("_notes", F.lit(""))), F.coalesce("notes", F.lit(""))
-    adds = (note != "") & ~F.contains(old, note)
+    many = dict(payloads.dtypes)["notes"].startswith("array")
+    given = F.col("_notes") if many else F.array("_notes")
+    old = F.coalesce("notes", F.lit(""))
+
+    def add(text: Column, note: Column) -> Column:
+        note = F.trim(F.coalesce(note, F.lit("")))
+        more = F.trim(F.concat(F.trim(text), F.lit("\n"), note))
+        return F.when((note != "") & ~F.contains(text, note), F.when(F.trim(text) == "", note).otherwise(more) if many else more).otherwise(text)
+
+    df = df.withColumn("_all", F.aggregate(F.coalesce(given, F.array().cast("array<string>")), old, add))
+    adds = F.col("_all") != old
     filled = F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in fills.items()], F.when(adds, F.lit("notes"))))
-    return df.select("id", filled.alias("filled"), *[F.when(t, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c, t in fills.items()], F.when(adds, F.trim(F.concat(F.trim(old), F.lit("\n"), note))).otherwise(F.col("notes")).alias("notes"))
+    return df.select("id", filled.alias("filled"), *[F.when(t, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c, t in fills.items()], F.when(adds, F.col("_all")).otherwise(F.col("notes")).alias("notes"))
 
 
 # What the export's own source column may say for each channel.
