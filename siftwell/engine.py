@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.config import LIST_COLUMNS, EngineConfig
 from siftwell.operators import classify, ingest, resolve, tables
+from siftwell.session import exists
 from siftwell.sources import readers
 
 
@@ -23,7 +23,7 @@ class LeadEngine:
     @classmethod
     def open(cls, spark: SparkSession, snapshot: str, export: str | None = None) -> LeadEngine:
         """The snapshot at a path; made from an export if there is none yet."""
-        if export and not os.path.exists(snapshot):
+        if export and not exists(spark, snapshot):
             readers.write_snapshot(readers.load_export(spark, export), snapshot)
         return cls(spark, spark.read.parquet(snapshot))
 

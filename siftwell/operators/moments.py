@@ -216,11 +216,12 @@ def normalise_moments(
     order of zone_name counts). A null or unknown origin means default_zone and default_order.
     Null, blank, unreadable texts and dates that no calendar has give no row; repeated input
     rows give repeated results; other columns of df are ignored, whatever their names; an
-    empty table gives an empty result. Very long texts match no layout.
+    empty table gives an empty result. Texts of any length are read whole: white space
+    around a moment does not matter, however long.
     """
     spark = df.sparkSession
     cells = df.select(F.col(key).alias("_key"), F.col(origin).alias("_origin"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])).alias("_x"))
-    cells = cells.select("_key", "_origin", "_x.field", "_x.text").filter(F.length("text").between(1, 80))
+    cells = cells.select("_key", "_origin", "_x.field", "_x.text").filter("text <> ''")
     rules = origins.groupBy(F.col(origin).alias("_origin")).agg(F.min(F.struct("zone_name", "slash_order")).alias("_r")).select("_origin", F.col("_r.zone_name").alias("_zone"), F.col("_r.slash_order").alias("_order"))
     cells = cells.join(rules, "_origin", "left")
     cells = local_fields(cells, "text", F.coalesce(F.col("_order"), F.lit(default_order))).filter(F.col("local_us").isNotNull())

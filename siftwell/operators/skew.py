@@ -13,20 +13,21 @@ HOT_LEAST = 20_000
 def hot_keys(rows: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = HOT_LEAST, counts: DataFrame | None = None) -> list:
     """The keys that hold more than `share` of the rows (and more than `least` rows): at most 1 / share of them.
 
-    The counts are partially aggregated before the shuffle; only the hot keys, whose number
-    is bounded by 1 / share, reach the driver. A null key is never hot. counts: the number of rows, _n,
-    of each key, where the caller has it.
+    The counts are partially aggregated before the shuffle. The first pass brings one row to the driver: the
+    total and the greatest count. Only where that is above both bounds a second one collects the keys, filtered by
+    the share in the plan, so at most 1 / share rows ever reach the driver. A null key is never hot. counts: the
+    number of rows, _n, of each key, where the caller has it.
     """
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.filter(F.col("_n") > least)
+    known = F.lit(True)
     for k in keys:
-        heavy = heavy.filter(F.col(k).isNotNull())
-    found = heavy.collect()
-    if not found:
+        known = known & F.col(k).isNotNull()
+    sums = counts.agg(F.sum("_n").alias("total"), F.max(F.when(known, F.col("_n"))).alias("most")).first()
+    bound = max(least, share * (sums["total"] or 0))
+    if (sums["most"] or 0) <= bound:
         return []
-    total = counts.agg(F.sum("_n")).first()[0]
-    return [r for r in found if r["_n"] > share * total]
+    return counts.filter(known & (F.col("_n") > bound)).collect()
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", share: float = HOT_SHARE, least: int = HOT_LEAST, counts: DataFrame | None = None) -> DataFrame:

@@ -160,12 +160,17 @@ def check_patch(patch: dict[str, object]) -> dict[str, object]:
     return patch
 
 
-def apply_patches(leads: DataFrame, patches: DataFrame, today: Column | None = None) -> DataFrame:
+def apply_patches(leads: DataFrame, patches: DataFrame, today: Column | None = None, order: str | None = None) -> DataFrame:
     """The snapshot with patches (id, status, owner, notes; null means unchanged) applied; updated_at becomes today where a patch fits.
 
-    A status that is no stage is an error of the caller (check_patch); here it changes nothing. Several patches of one id: the greatest values.
+    A status that is no stage is an error of the caller (check_patch); here it changes nothing, and a patch that
+    holds nothing else does not date the lead. Several patches of one id: per field the last one by the column `order`, the
+    greatest value where no order is given.
     """
-    one = patches.groupBy("id").agg(F.max("status").alias("_status"), F.max("owner").alias("_owner"), F.max("notes").alias("_notes"), F.lit(True).alias("_hit"))
+    fits = patches.filter(clean.status(F.col("status")).isNotNull() | F.col("owner").isNotNull() | F.col("notes").isNotNull())
+    known = F.when(clean.status(F.col("status")).isNotNull(), F.col("status"))
+    last = lambda value: F.max(value) if order is None else F.max_by(value, F.when(value.isNotNull(), F.col(order)))
+    one = fits.groupBy("id").agg(last(known).alias("_status"), last(F.col("owner")).alias("_owner"), last(F.col("notes")).alias("_notes"), F.lit(True).alias("_hit"))
     df = leads.join(one, "id", "left")
     day = (F.current_date() if today is None else today).cast(dict(leads.dtypes)["updated_at"])
     return df.withColumns({

@@ -142,7 +142,7 @@ BLOCKS = """
     {'kind': 'phone', 'value': CASE WHEN length(phone_digits) >= 7 THEN phone_digits END},
     {'kind': 'phone9', 'value': CASE WHEN length(phone_key) >= 9 THEN phone_key END},
     {'kind': 'email', 'value': nullif(email, '')}, {'kind': 'domain', 'value': nullif(domain_root, '')},
-    {'kind': 'initial_surname', 'value': CASE WHEN len(name_tokens) >= 2 THEN substring(name_tokens[1], 1, 1) || '|' || name_tokens[-1] END}], recursive := true)
+    {'kind': 'initial_surname', 'value': CASE WHEN len(name_tokens) >= 1 THEN substring(name_tokens[1], 1, 1) || '|' || name_tokens[-1] END}], recursive := true)
   FROM %s) WHERE value IS NOT NULL"""
 
 PAIRS = "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM match_pairs WHERE a <> b"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _counter = itertools.count()
 _roots: dict[str, str] = {}
@@ -34,11 +35,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, a temporary one under a local master and an error under any other."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="siftwell-")
             spark.conf.set("spark.checkpoint.dir", base)
         _roots[app] = f"{base.rstrip('/')}/siftwell-{uuid.uuid4().hex[:12]}"
@@ -56,6 +59,16 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def observed(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """materialise(df) and the aggregates `metrics` over its rows, taken while they are written: no job of their own."""
+    watch = Observation()
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{label}-{next(_counter)}"
+    df.observe(watch, *[v.alias(k) for k, v in metrics.items()]).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siftwell_path = path
+    return out, watch.get
+
+
 def release(df: DataFrame) -> None:
     """Deletes what materialise() wrote for df; nothing may read it afterwards."""
     path = getattr(df, "_siftwell_path", None)
@@ -63,6 +76,12 @@ def release(df: DataFrame) -> None:
         discard(df.sparkSession, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system that Spark can read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -33,12 +33,24 @@ def load_export(spark: SparkSession, path: str, existing: DataFrame | None = Non
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """An array of JSON objects or one object a line; absent keys are null."""
-    return spark.read.schema(SUBMISSION).json(path, multiLine=True)
-
-
-def write_csv(leads: DataFrame, path: str, single_file: bool = True) -> None:
-    """The list columns, ordered by id, with a header."""
+    """An array of JSON objects, over any lines, or one object a line; absent keys are null.
+
+    Files whose first mark is a bracket hold one array each and are read whole; all others are split by line, so that
+    a large file of JSON lines is read by many tasks. An unreadable line gives a row of nulls.
+    """
+    heads = spark.read.text(path).withColumn("_file", F.input_file_name()).filter(F.trim("value") != "")
+    first = heads.withColumn("_at", F.monotonically_increasing_id()).groupBy("_file").agg(F.min(F.struct("_at", F.substring(F.ltrim("value"), 1, 1).alias("c")))["c"].alias("c"))
+    arrays = first.filter("c = '['").select("_file")
+    name = F.input_file_name()
+    lines = heads.join(arrays, "_file", "left_anti").select(F.from_json("value", SUBMISSION).alias("x")).select("x.*")
+    if arrays.isEmpty():
+        return lines
+    whole = spark.read.schema(SUBMISSION).json(path, multiLine=True).withColumn("_file", name)
+    return whole.join(F.broadcast(arrays), "_file", "left_semi").drop("_file").unionByName(lines)
+
+
+def write_csv(leads: DataFrame, path: str, single_file: bool = False) -> None:
+    """The list columns, ordered by id over the files in order of their names, each with a header; single_file makes it one task's work."""
     rows = leads.select(*[c for c in LIST_COLUMNS if c in leads.columns]).orderBy("id")
     (rows.coalesce(1) if single_file else rows).write.mode("overwrite").csv(path, header=True)
 

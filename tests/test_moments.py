@@ -72,3 +72,10 @@ def test_against_zoneinfo(spark, zone):
     for i, t in enumerate(texts):
         want = t.replace(second=0, tzinfo=z, fold=0).astimezone(UTC)
         assert got[i] == int(want.timestamp()) * 1_000_000, (zone, t)
+
+
+def test_length_does_not_matter(spark):
+    texts = [" " * 200 + "2024-05-01 10:00" + "\n" * 100, "x" * 5000, " " * 500]
+    df = spark.createDataFrame([(i, "o", t) for i, t in enumerate(texts)], "id bigint, origin string, created_at string")
+    origins = spark.createDataFrame([("o", "UTC", "mdy")], "origin string, zone_name string, slash_order string")
+    assert [(r["id"], r["utc_micros"]) for r in normalise_moments(df, origins, fields=("created_at",)).collect()] == [(0, 1714557600000000)]

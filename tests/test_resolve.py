@@ -7,7 +7,7 @@ from siftwell.config import EngineConfig
 from siftwell.functions import clean
 from siftwell.operators import adjudicate, blocking, evaluate, resolve, scoring
 from siftwell.operators.components import connected_components
-from siftwell.operators.skew import lookup_join
+from siftwell.operators.skew import hot_keys, lookup_join
 
 SCHEMA = "id bigint, first string, last string, full string, company_name string, email string, phone_raw string, country string, job_title string, notes string"
 
@@ -158,3 +158,23 @@ def test_lookup_join_with_a_hot_key(spark):
         plain = rows.join(table, ["k"], how).select("k", "id", "v")
         split = lookup_join(rows, table, ["k"], how, share=0.1, least=100).select("k", "id", "v")
         assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect()))
+
+
+def test_components_in_rounds_and_in_one_task_agree(spark):
+    rng = random.Random(11)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(900 + i, 901 + i) for i in range(50)] + [(2000, 2000 + i) for i in range(90)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    here, rounds = (sorted(map(tuple, connected_components(df, local_links=n).collect())) for n in (10**6, 0))
+    assert here == rounds and len(here) > 400
+
+
+def test_few_hot_keys_reach_the_driver(spark):
+    """300 keys above the least number of rows: only those above the share are collected."""
+    rows = spark.range(61_000).select(F.when(F.col("id") < 31_000, -1).otherwise(F.col("id") % 300).alias("k"))
+    assert [(r["k"], r["_n"]) for r in hot_keys(rows, ["k"], share=0.1, least=50)] == [(-1, 31_000)]
+    assert hot_keys(rows.filter("k >= 0"), ["k"], share=0.1, least=50) == []
+
+
+def test_a_name_of_one_word_blocks(spark):
+    df = leads(spark, [(1, "Cher", None, None, None, None), (2, "Cher", None, None, None, None), (3, None, None, None, None, None)])
+    assert [tuple(r) for r in blocking.block_pairs(df).collect()] == [(1, 2, ["initial_surname"])]

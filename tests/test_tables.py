@@ -149,3 +149,27 @@ def test_sql_twin(spark, sf, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(str([r[names.index(c)] for c in sorted(names)]) for r in cur.fetchall())
     assert sorted(str([r[c] for c in sorted(names)]) for r in df.collect()) == want
+
+
+def test_submissions_as_lines_and_as_an_array(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"name": "A", "email": "a@x.test"}\n\n{"name": "B"}\n{"name": "C", "phone": "1"}\n')
+    (tmp_path / "array.json").write_text('\n [{"name": "D"},\n  {"name": "E",\n   "message": "two\\nlines"}]\n')
+    assert [r["name"] for r in readers.read_submissions(spark, str(tmp_path / "lines.json")).orderBy("name").collect()] == ["A", "B", "C"]
+    assert [r["name"] for r in readers.read_submissions(spark, str(tmp_path / "array.json")).orderBy("name").collect()] == ["D", "E"]
+    assert readers.read_submissions(spark, str(tmp_path)).count() == 5
+
+
+def test_open_keeps_a_snapshot_that_is_there(spark, sf, tmp_path):
+    path = f"file://{tmp_path}/snapshot"
+    table(spark, sf, "leads").limit(3).write.parquet(path)
+    assert LeadEngine.open(spark, path, export="/nowhere.csv").leads.count() == 3
+
+
+def test_the_last_patch_counts(spark, sf):
+    leads = table(spark, sf, "leads").limit(1)
+    k = leads.first()["id"]
+    patches = spark.createDataFrame([(k, "new", "Zoe", None, 1), (k, "nonsense", None, "n", 2), (k, "closed won", "Ana", None, 3)], "id bigint, status string, owner string, notes string, at int")
+    r = tables.apply_patches(leads, patches, F.lit("2026-01-31"), "at").first()
+    assert (r["status"], r["owner"], r["notes"], r["updated_at"]) == ("Closed Won", "Ana", "n", "2026-01-31")
+    same = tables.apply_patches(leads, patches.filter("at = 2").withColumn("notes", F.lit(None).cast("string")), F.lit("2026-01-31")).first()
+    assert same["updated_at"] == leads.first()["updated_at"]
