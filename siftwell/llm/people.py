@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.names import FORMAL, PARTICLES, TITLES, edits, fold, name_parts, plain, squash
+from siftwell.session import observed
 
 #: Mail providers open to everybody: their domain says nothing about a firm.
 PROVIDERS = frozenset({"postvane", "gmail", "googlemail", "outlook", "hotmail", "yahoo", "icloud", "aol", "gmx", "proton"})
@@ -26,8 +27,15 @@ ROLES = frozenset("info office hello sales contact admin support mail team servi
 # Legal forms and words of trade in firms' names, with common short forms.
 LEGAL = frozenset("the ltd limited pty pte llc ab ag gmbh mbh gesellschaft group grp oy inc sa srl bv co company and corp corporation plc nv kg spa sl sarl as aps incorporated aktiengesellschaft osakeyhtio aktiebolag".split())
 TRADE = frozenset(
-    "freight energy biotech robotics foods materials engineering analytics international technologies agro retail optics instruments solutions medical marine "
-    "software textiles insurance studios manufacturing logistics packaging consulting eng log sol tech techs cons ins intl matls mfg pkg instr sw".split()
+    "accounting advisory aerospace agency agriculture agro analytics apparel architects associates automation automotive aviation bank banking beverages biotech brewing broadcasting builders building capital catering ceramics "
+    "chemicals cleaning clothing coatings communications components computing construction consultants consulting contractors cosmetics couriers dairy data dental design development diagnostics digital distribution education "
+    "electric electrical electronics energy engineering entertainment environmental enterprises equipment events exports fabrics farms fashion finance financial fisheries fittings foods forestry freight furniture gaming "
+    "glass global graphics hardware health healthcare holding holdings hospitality hotels imaging imports industrial industries instruments insurance interiors international investments labs laboratories laser leasing legal lighting "
+    "logistics machinery management manufacturing marine marketing materials media medical metals mining mobility motors music networks nutrition optics outdoor packaging paints paper partners pharma pharmaceuticals photonics plastics "
+    "plumbing power precision printing products properties publishing realty recruitment recycling renewables research resources restaurants retail robotics rubber safety sciences security seeds semiconductors services shipping software "
+    "solar solutions sports stationery steel storage stores studio studios supplies supply systems technologies technology telecom textiles tiles timber tobacco tools tourism toys trading training transport travel ventures "
+    "veterinary water welding wholesale wines wireless wood "
+    "eng log sol tech techs cons ins intl matls mfg pkg instr sw svcs mgmt dev dist".split()
 )
 _WORD = re.compile(r"[^\W_]+(?:[.'’][^\W_]+)*\.?")
 
@@ -140,10 +148,11 @@ def given_name_table(leads: DataFrame, name: str = "display_name", share: float
     list is bounded whatever the input. It holds the given names in use: a family name occurs in few
     different names, a typing error of a given name in fewer than the name itself by far.
     """
-    words = leads.filter(F.col(name).isNotNull()).select(F.lower(name).alias("n"), F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace(name, r"[^\p{L}'-]+", " ")), " "))).alias("w")).filter("length(w) > 2")
-    counts = words.groupBy("w").agg(F.approx_count_distinct("n", 0.05).alias("n"))
-    total = leads.filter(F.col(name).isNotNull()).count()
-    common = counts.filter(F.col("n") >= max(least, share * total)).collect()
+    names = leads.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    words = names.select(F.explode(F.array_append(F.filter(F.array_distinct(F.split(F.regexp_replace("n", r"[^\p{L}'-]+", " "), " ")), lambda w: F.length(w) > 2), F.lit(""))).alias("w"), "rows")
+    # '' stands for all rows.
+    counts, found = observed(words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")), "words", total=F.max(F.when(F.col("w") == "", F.col("rows"))))
+    common = counts.filter((F.col("w") != "") & (F.col("n") >= max(least, share * (found["total"] or 0)))).collect()
     return sorted({plain(squash(r["w"])) for r in common if r["w"] not in TITLES and r["w"] not in PARTICLES})
 
 
@@ -177,3 +186,15 @@ def identities(leads: DataFrame, given_names: list[str]) -> DataFrame:
             })
 
     return base.mapInPandas(read, IDENTITY)
+
+
+def evidence(people: DataFrame, *more: str) -> DataFrame:
+    """(ev, kind, id, given, family, *more): one row per named lead and piece of evidence: mailbox, phone line, each firm. ev is a hash of kind and value."""
+    piece = lambda kind, value: F.struct(F.xxhash64(F.lit(kind), value).alias("ev"), F.lit(kind).alias("kind"))
+    none = F.array().cast("array<struct<ev: bigint, kind: string>>")
+    pieces = F.concat(
+        F.when(F.col("mailbox") != "", F.array(piece("mailbox", F.col("mailbox")))).otherwise(none),
+        F.when(F.col("line") != "", F.array(piece("line", F.col("line")))).otherwise(none),
+        F.transform("firms", lambda f: piece("firm", f)),
+    )
+    return people.filter("family <> ''").select("id", "given", "family", *more, F.explode(pieces).alias("x")).select("x.ev", "x.kind", "id", "given", "family", *more)

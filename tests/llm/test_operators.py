@@ -160,41 +160,80 @@ def test_refused_pairs_hold_namesakes_apart(spark):
     assert {("person", "10", "11"), ("person", "10", "12"), ("person", "11", "12")} <= got
 
 
-def test_average_linkage_against_plain(spark):
-    rng = random.Random(8)
-    edges = {}
-    for _ in range(70):
-        a, b = sorted(rng.sample(range(30), 2))
-        edges[a, b] = round(rng.random(), 3)
+def plain_linkage(edges, threshold):
+    """Average linkage, one merge at a time, over all pairs of two clusters; absent pairs count 0."""
     clusters = {i: {i} for e in edges for i in e}
     while True:
         best = None
-        keys = sorted(clusters)
-        for x in keys:
-            for y in keys:
+        for x in sorted(clusters):
+            for y in sorted(clusters):
                 if x < y:
-                    s = [edges[p] for i in clusters[x] for j in clusters[y] if (p := tuple(sorted((i, j)))) in edges]
-                    if s and (v := round(sum(s) / len(s), 9)) >= 0.5 and (best is None or (v, -x, -y) > best[0]):
+                    v = round(sum(edges.get((min(i, j), max(i, j)), 0.0) for i in clusters[x] for j in clusters[y]) / (len(clusters[x]) * len(clusters[y])), 9)
+                    if v >= threshold and (best is None or (v, -x, -y) > best[0]):
                         best = ((v, -x, -y), x, y)
         if best is None:
-            break
+            return {n: c for c, own in clusters.items() for n in own}
         clusters[best[1]] |= clusters.pop(best[2])
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_average_linkage_is_the_plain_one(spark, seed):
+    """In one task, in rounds, and part by part with either way: exactly the clusters of single merges."""
+    rng = random.Random(seed)
+    edges = {}
+    for block in range(4):
+        for _ in range(40):
+            a, b = sorted(rng.sample(range(block * 12, block * 12 + 12), 2))
+            edges[a, b] = round(0.3 + 0.7 * rng.random(), 6)
+    want = plain_linkage(edges, 0.4)
+    assert len(set(want.values())) < len(want) and variants.linkage(edges, 0.4) == want
     df = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a bigint, b bigint, sim double")
-    got = {}
-    for r in variants.average_linkage(df, 0.5).collect():
-        got.setdefault(r["cluster"], set()).add(r["node"])
-    # Averages over present pairs are not reducible in general, so rounds may differ from single merges; the partitions must agree almost everywhere.
-    agree = sum(any(v <= w or w <= v for w in got.values()) for v in clusters.values())
-    assert agree >= 0.8 * len(clusters) and set().union(*got.values()) == set().union(*clusters.values())
+    for got in (variants.average_linkage(df, 0.4), variants.cluster_edges(df, 0.4), variants.cluster_edges(df, 0.4, most=30)):
+        assert {r["node"]: r["cluster"] for r in got.collect()} == want
+
+
+def test_large_and_small_evidence_give_the_same_persons(spark):
+    """The join in place and the join by trigram, for the same firm."""
+    rng = random.Random(3)
+    given, family = ["Ana", "Marek", "Ebba", "Omar", "Jane", "John"], ["Brenvik", "Calezano", "Quillmark", "Ostwald", "Marwood", "Kimberlin"]
+    rows = []
+    for i in range(150):
+        g, f = rng.choice(given), rng.choice(family)
+        k = rng.randrange(len(f) - 1)
+        f = f if rng.random() < 0.6 else f[:k] + f[k + 1] + f[k] + f[k + 2 :]
+        rows.append((i, 0, rng.choice([f"{g} {f}", f"{f.upper()} {g}", f"{g[0]}. {f}"]), None, None, "Quol Foods"))
+    df = people_of(spark, rows)
+    here, spread = ({(r["person"], r["id"]) for r in variants.link_persons(df, most=m).collect()} for m in (1000, 20))
+    assert here == spread and len(here) > 100
+
+
+def test_every_variant_comes_from_the_cosine_join(spark):
+    """With a cosine that no pair of different vectors reaches, only equal vectors are linked."""
+    df = people_of(spark, PEOPLE)
+    near, none = ({(r["person"], r["id"]) for r in variants.link_persons(df, threshold=t).collect()} for t in (variants.PERSON_COSINE, 1.01))
+    assert near == {(1, 1), (1, 2), (1, 3), (1, 8)} and none == {(1, 1), (1, 2)}
+    typo = people_of(spark, [(1, 0, None, None, None, "Quolmark Foods Ltd"), (2, 0, None, None, None, "The Quolmrak Foods")])
+    assert variants.link_firms(typo).count() == 2 and variants.link_firms(typo, threshold=1.01).count() == 0
+
+
+def test_rows_of_a_key_stay_together():
+    import pandas as pd
+
+    rng = random.Random(1)
+    keys = sorted(rng.randrange(9) - 4 for _ in range(60))
+    at = sorted(rng.sample(range(60), 14))
+    frames = [pd.DataFrame({"ev": keys[i:j], "x": range(i, j)}) for i, j in zip([0, *at], [*at, 60], strict=True)]
+    out = list(variants._groups(iter(frames), "ev"))
+    assert [x for o in out for x in o["x"]] == list(range(60)) and sum(o["ev"].nunique() for o in out) == len(set(keys))
 
 
 def test_cosine_join_loses_no_pair(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abdeikmnorst") for _ in range(rng.randint(4, 9))) for _ in range(80)]
     words += [w[:-1] + "x" for w in words[:30]]
-    rows = spark.createDataFrame([(0, i, w) for i, w in enumerate(words)], "w bigint, n bigint, t string")
+    rows = spark.createDataFrame([(0, i, w, w) for i, w in enumerate(words)], "w bigint, n bigint, t string, note string")
     weights = variants.gram_weights(rows.select("t"), "t")
-    cosine = variants.Cosine(weights)
+    cosine = variants.Vectors(weights, 0.5).cosine
     want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if words[i] != words[j] and cosine(words[i], words[j]) >= 0.5}
     got = {(r["a"], r["b"]) for r in variants.cosine_pairs(rows, weights, 0.5).collect()}
     assert want and want <= got
