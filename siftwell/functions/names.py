@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # Letters that Unicode does not decompose.
 LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i"})
@@ -74,6 +75,8 @@ TITLES = frozenset("dr prof mr mrs ms miss mme mlle herr frau hr fr sr sra srta
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     low = text.casefold().translate(LETTERS)
     return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
@@ -86,6 +89,12 @@ def squash(text: str) -> str:
     return _NOT_WORD.sub("", fold(text))
 
 
+@lru_cache(maxsize=200_000)
+def _token(raw: str) -> str:
+    """A part of a name as it is compared."""
+    return plain(squash(raw))
+
+
 _SPACES = re.compile(r"[\s ]+")
 _PIECE = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\.?")
 
@@ -108,7 +117,7 @@ def name_parts(text: str | None) -> tuple[str, str, tuple[str, ...]]:
     tokens, marks = [], []
     for part, half in enumerate(halves):
         for raw in _PIECE.findall(half):
-            token = plain(squash(raw))
+            token = _token(raw)
             if token and not (token in PARTICLES and len(token) > 1) and not (token in TITLES and (raw.endswith(".") or len(token) > 1) and not (len(halves) == 1 and len(tokens) >= 1)):
                 tokens.append(token)
                 marks.append((part, raw.rstrip(".")))
