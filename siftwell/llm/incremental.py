@@ -8,30 +8,42 @@ evidence and block r. A new lead looks up its exact block matches in each table;
 finds is verified by the Hamming distance of the whole fingerprints and then by the names
 themselves. Its fingerprints are appended, so the history is never processed again.
 
-Leads of one evidence and one name are one row of the tables (the smallest id) and are linked
-to it directly; only different names that share evidence and a block are ever paired.
+The index is a folder: `blocks` (the rotated tables, bucketed by key, with the person of each row) and `linked` (a log by
+batch: the new leads that were linked, and the stored persons that they showed to be one). Both are only ever appended
+to. A check shuffles the new keys alone; the stored buckets are read where they lie, and no row of them if there is
+nothing to look up.
+
+Leads of one evidence and one name are one row a batch (the smallest id) and are linked to it directly; only different
+names that share evidence and a block are ever paired. A key holds names of one evidence with one block, so a firm with
+a large part of all leads is spread over many keys.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.grouping import group_links
 from siftwell.functions.names import FORMAL
-from siftwell.llm.people import full_form, given_name_table, identities, same_name
-from siftwell.operators.skew import lookup_join
-from siftwell.session import materialise
+from siftwell.llm.people import IDENTITY, evidence, full_form, given_name_table, identities, same_name
+from siftwell.operators.components import LOCAL_LINKS, _finish, connected_components
+from siftwell.operators.skew import HOT_LEAST, lookup_join
+from siftwell.session import exists, materialise, observed, release, shared_folder
 
 #: Two names of one person differ in at most so many of the 64 bits; names that share one block by chance differ in about 24.
 MOST_BITS = 28
-_SALTS = np.random.default_rng(20).integers(1, 2**63, 4, dtype=np.uint64)
+#: Rows of the block tables that one bucket of a new index is made for.
+BUCKET_ROWS = 2_000_000
+LEAST_BUCKETS = 8
+
+# Lane j of _LANES[x] is bit j of the byte x: the sums of eight votes are kept in one number.
+_LANES = [sum((x >> j & 1) << (16 * j) for j in range(8)) for x in range(256)]
 
 
 @lru_cache(maxsize=300_000)
@@ -39,15 +51,16 @@ def block(text: str, salt: int) -> int:
     """A 16-bit similarity hash of the letter pairs of text."""
     if not text:
         return 0
-    padded, votes = f"^{text}$", [0] * 16
-    for i in range(len(padded) - 1):
+    padded, low, high = f"^{text}$", 0, 0
+    n = len(padded) - 1
+    for i in range(n):
         h = (ord(padded[i]) * 0x9E3779B1 + ord(padded[i + 1]) * 0x85EBCA77 + salt) & 0xFFFFFFFF
         h ^= h >> 15
         h = (h * 0x2C1B3C6D) & 0xFFFFFFFF
         h ^= h >> 12
-        for k in range(16):
-            votes[k] += 1 if h >> k & 1 else -1
-    return sum(1 << k for k in range(16) if votes[k] > 0)
+        low += _LANES[h & 255]
+        high += _LANES[h >> 8 & 255]
+    return sum(1 << k for k in range(16) if 2 * ((low if k < 8 else high) >> (16 * (k & 7)) & 0xFFFF) > n)
 
 
 def fingerprint(given: str, family: str) -> int:
@@ -58,135 +71,240 @@ def fingerprint(given: str, family: str) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-_ROWS = T.StructType([
-    T.StructField("ev", T.LongType()), T.StructField("id", T.LongType()), T.StructField("batch_no", T.IntegerType()),
-    T.StructField("given", T.StringType()), T.StructField("family", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("tables", T.IntegerType()),
-    T.StructField("initials", T.StringType()),
-])
+def fingerprinted(leads: DataFrame, given_names: list[str]) -> DataFrame:
+    """identities() with the fingerprint fp and the initials of each name; a name of which neither or each part is a given name in use may be written in either order and has a row for both."""
+    known = frozenset(given_names) | frozenset(FORMAL)
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        one = lru_cache(maxsize=50_000)(fingerprint)
+        turn = [len(g) > 2 and len(f) > 2 and (g in known) == (f in known) for g, f in zip(b["given"], b["family"], strict=True)]
+        b = pd.concat([b, b[turn].rename(columns={"given": "family", "family": "given"})], ignore_index=True)
+        pairs = list(zip(b["given"], b["family"], strict=True))
+        return b.assign(fp=[one(g, f) for g, f in pairs], initials=[full_form(g)[:1] + f[:1] for g, f in pairs])
 
+    schema = T.StructType([*IDENTITY.fields, T.StructField("fp", T.LongType()), T.StructField("initials", T.StringType())])
+    return identities(leads, given_names, add, schema)
 
-def evidence_rows(people: DataFrame, either_order: list[str] | None = None) -> DataFrame:
-    """One row per named lead and piece of evidence, with the fingerprint of the name.
 
-    either_order: the given names in use; a name of which neither or each part is one may be written in either order and has a row for both.
+def one_per_name(people: DataFrame) -> DataFrame:
+    """The rows of the block tables before rotation: per evidence and name the smallest id, the greatest, and the number n of rows.
+
+    A mailbox of one's own gives one more row of kind 'box': of those with it the first lead, a named one before one without a
+    name, whose family is ''. It serves the leads without a name.
     """
-    known = None if either_order is None else frozenset(either_order) | frozenset(FORMAL)
-    named = people.filter("family <> ''")
-    piece = lambda kind, value, tables: F.struct(F.xxhash64(F.lit(kind), value).alias("ev"), F.lit(tables).alias("tables"))
-    pieces = F.concat(
-        F.when(F.col("mailbox") != "", F.array(piece("mailbox", F.col("mailbox"), 4))).otherwise(F.array()),
-        F.when(F.col("line") != "", F.array(piece("line", F.col("line"), 4))).otherwise(F.array()),
-        F.transform("firms", lambda f: piece("firm", f, 2)),
-    )
-    rows = named.select("id", "batch_no", "given", "family", F.explode(pieces).alias("x")).select("x.ev", "id", "batch_no", "given", "family", "x.tables")
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = lru_cache(maxsize=50_000)(fingerprint)
-        for b in batches:
-            if known is not None:
-                turn = [len(g) > 2 and len(f) > 2 and (g in known) == (f in known) for g, f in zip(b["given"], b["family"], strict=True)]
-                b = pd.concat([b, b[turn].rename(columns={"given": "family", "family": "given"})], ignore_index=True)
-            pairs = list(zip(b["given"], b["family"], strict=True))
-            yield b.assign(fp=[one(g, f) for g, f in pairs], initials=[full_form(g)[:1] + f[:1] for g, f in pairs])[[f.name for f in _ROWS]]
+    named = evidence(people, "fp", "initials", "batch_no")
+    names = named.groupBy("ev", "kind", "given", "family", "fp", "initials").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n"), F.min("batch_no").alias("batch_no"))
+    box = people.filter("mailbox <> '' and not role").groupBy(F.xxhash64(F.lit("box"), F.col("mailbox")).alias("ev")).agg(F.min(F.struct(F.col("family") == "", F.col("id"), F.col("family"), F.col("batch_no"))).alias("m"))
+    first = box.select("ev", F.lit("box").alias("kind"), F.lit("").alias("given"), F.col("m.family").alias("family"), F.lit(0).cast("bigint").alias("fp"), F.lit("").alias("initials"), F.col("m.id").alias("id"), F.col("m.id").alias("last_id"), F.lit(1).cast("bigint").alias("n"), F.col("m.batch_no").alias("batch_no"))
+    return names.unionByName(first)
 
-    return rows.mapInPandas(add, _ROWS)
 
+#: Of a firm's leads those are compared that share the family name's block or the given name's; mailboxes and lines use all four tables.
+TABLES = {"mailbox": 4, "line": 4, "firm": 2, "box": 1}
 
-_CLASS = ["ev", "given", "family"]
 
+def rotated(names: DataFrame, *columns: str) -> DataFrame:
+    """(key, t, *columns): the rotated block tables of names, one row per table t, keyed by evidence and block (and an initial where the block alone is common)."""
+    bits = lambda r: F.shiftrightunsigned("fp", 16 * r).bitwiseAND(F.lit(0xFFFF))
+    key = lambda r: F.struct(F.xxhash64("ev", F.lit(r), bits(r), F.substring("initials", -1, 1) if r == 1 else F.lit("")).alias("key"), F.lit(r).cast("tinyint").alias("t"))
+    number = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in TABLES.items()])
+    x = names.select(*columns, F.explode(F.slice(F.array(*[key(r) for r in range(4)]), F.lit(1), number)).alias("x"))
+    return x.select("x.key", "x.t", *columns)
 
-def one_per_name(rows: DataFrame) -> DataFrame:
-    """The rows of the block tables before rotation: per evidence and name the smallest id, and the number n of leads."""
-    return rows.groupBy(*_CLASS, "fp", "tables", "initials").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
 
+_SIDE = ("id", "given", "family", "fp", "person", "first_batch", "box")
 
-def rotated(names: DataFrame) -> DataFrame:
-    """The rotated block tables: one row per table, keyed by evidence and block (and an initial where the block alone is common)."""
-    bits = lambda r: F.shiftrightunsigned("fp", 16 * r).bitwiseAND(F.lit(0xFFFF))
-    key = lambda r: F.xxhash64("ev", F.lit(r), bits(r), F.substring("initials", -1, 1) if r == 1 else F.lit(""))
-    keys = F.array(*[key(r) for r in range(4)])
-    return names.select(F.explode(F.slice(keys, F.lit(1), F.col("tables"))).alias("key"), "id", "given", "family", "fp")
+
+def met(new: DataFrame, stored: DataFrame | None = None, most_bits: int = MOST_BITS) -> DataFrame:
+    """(a, a_batch, b, box, names of both): persons a of stored block tables that share a block with names b of new ones, near enough by their fingerprints. stored None: new with itself, each pair once, a_batch null.
+
+    Rows of boxes meet each other only, and one of two must be without a family name.
+    """
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in _SIDE])
+    both = side(new, "a").join(side(new, "b"), "key").filter("id_a < id_b") if stored is None else side(stored, "a").join(side(new, "b").hint("shuffle_hash"), "key").filter("id_a <> id_b")
+    box = F.col("box_a") | F.col("box_b")
+    near = F.when(box, F.col("box_a") & F.col("box_b") & ((F.col("family_a") == "") | (F.col("family_b") == ""))).otherwise(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= most_bits)
+    first = F.lit(None).cast("int") if stored is None else F.col("first_batch_a")
+    return both.filter(near).select(F.col("person_a").alias("a"), first.alias("a_batch"), F.col("id_b").alias("b"), box.alias("box"), "given_a", "family_a", "given_b", "family_b")
 
 
 def verified(pairs: DataFrame, given_names: list[str]) -> DataFrame:
-    """(a, b) of the candidate pairs whose names can be one person's."""
+    """(a, a_batch, b) of the pairs found by met() whose names can be one person's, and of those that share a box."""
     known = frozenset(given_names)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ok = lru_cache(maxsize=100_000)(lambda a, b, c, d: same_name((a, b), (c, d), known))
         for x in batches:
-            mask = [ok(*row) for row in zip(x["given_a"], x["family_a"], x["given_b"], x["family_b"], strict=True)]
-            yield x.loc[mask, ["a", "b"]]
-
-    return pairs.mapInPandas(keep, "a bigint, b bigint").distinct()
-
-
-def lookup(new: DataFrame, stored: DataFrame, given_names: list[str], most_bits: int = MOST_BITS) -> DataFrame:
-    """Verified links (a, b), a < b, between names of `new` and of `stored` (both rotated) that share a block of one table."""
-    left = new.select("key", F.col("id").alias("id_a"), F.col("given").alias("given_a"), F.col("family").alias("family_a"), F.col("fp").alias("fp_a"))
-    right = stored.select("key", F.col("id").alias("id_b"), F.col("given").alias("given_b"), F.col("family").alias("family_b"), F.col("fp").alias("fp_b"))
-    near = left.join(right, "key").filter((F.col("id_a") != F.col("id_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= most_bits))
-    pairs = near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "given_a", "family_a", "given_b", "family_b").distinct()
-    return verified(pairs, given_names)
-
-
-def name_links(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Links of leads with the row that stands for their evidence and name; only hashes of the two are shuffled."""
-    first = names.filter("n > 1").select(F.xxhash64(*_CLASS).alias("c"), F.col("id").alias("a")).groupBy("c").agg(F.min("a").alias("a"))
-    return lookup_join(rows.select(F.xxhash64(*_CLASS).alias("c"), F.col("id").alias("b")), first, ["c"], "inner").filter("a <> b").select("a", "b")
-
-
-def nameless_links(people: DataFrame) -> DataFrame:
-    """Links of leads without a name to the first lead with the same mailbox, if it is no role's; a named one comes first."""
-    own = people.filter("mailbox <> '' and not role")
-    blank = own.filter("family = ''").select("mailbox", F.col("id").alias("b"))
-    firsts = own.join(blank.select("mailbox").distinct(), "mailbox", "left_semi").groupBy("mailbox").agg(F.min(F.struct(F.col("family") == "", F.col("id"))).alias("m")).select("mailbox", F.col("m.id").alias("a"))
-    return blank.join(firsts, "mailbox").filter("a <> b").select("a", "b")
+            mask = [sure or ok(*row) for sure, *row in zip(x["box"], x["given_a"], x["family_a"], x["given_b"], x["family_b"], strict=True)]
+            yield x.loc[mask, ["a", "a_batch", "b"]].astype({"a_batch": "Int32"})
+
+    return pairs.distinct().mapInPandas(keep, "a bigint, a_batch int, b bigint")
+
+
+def name_links(people: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """(a, b): leads with the row that stands for their evidence and name. most: the greatest n of names; two leads of a name need no join."""
+    two = names.filter("n > 1 and id <> last_id").select(F.col("id").alias("a"), F.col("last_id").alias("b"))
+    if most <= 2:
+        return two
+    own = F.xxhash64("ev", "given", "family")
+    first = names.filter("n > 2").select(own.alias("c"), F.col("id").alias("a"), "n")
+    counts = first.select("c", F.col("n").alias("_n"))
+    rows = evidence(people).select(own.alias("c"), F.col("id").alias("b"))
+    return two.unionByName(lookup_join(rows, first.drop("n"), ["c"], "inner", counts=counts).filter("a <> b").select("a", "b"))
+
+
+BLOCKS = "key bigint, t tinyint, id bigint, given string, family string, fp bigint, person bigint, first_batch int, box boolean"
+LINKED = "id bigint, person bigint, first_batch int, stored boolean"
+
+
+def _persons_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """persons_of() of all links in one task."""
+    frames = list(batches)
+    if not frames:
+        return
+    own = pd.concat(frames, ignore_index=True)
+    roots = pd.concat(_finish(iter([own.rename(columns={"a": "u", "b": "v"})])), ignore_index=True)
+    first = own[own["a_batch"].notna()].groupby("a")["a_batch"].min()
+    roots["first_batch"] = roots["id"].map(first).astype("Int32")
+    roots["stored"] = roots["first_batch"].notna()
+    least = roots[roots["stored"]].sort_values("id").drop_duplicates("root").set_index("root")
+    yield pd.DataFrame({
+        "id": roots["id"], "person": roots["root"].map(least["id"]).fillna(roots["root"]).astype("int64") if len(least) else roots["root"],
+        "first_batch": roots["root"].map(least["first_batch"]).astype("Int32"), "stored": roots["stored"],
+    })
+
+
+def persons_of(links: DataFrame, n: int, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """(id, person, first_batch, stored) of every end of the n links (a, a_batch, b), a_batch being set where a is a stored person.
+
+    person is the smallest stored person of the connected part, with its first_batch, or the smallest id and null if
+    there is none. Up to local_links links are finished in one task; both ways give the same.
+    """
+    if n <= local_links:
+        return links.coalesce(1).mapInPandas(_persons_here, LINKED)
+    roots = connected_components(links)
+    stored = links.filter("a_batch is not null").groupBy(F.col("a").alias("id")).agg(F.min("a_batch").alias("at"))
+    marked = materialise(roots.join(stored, "id", "left"), "roots")
+    least = marked.filter("at is not null").groupBy("root").agg(F.min(F.struct("id", "at")).alias("m"))
+    return lookup_join(marked, least, ["root"], "left").select("id", F.coalesce("m.id", "root").alias("person"), F.col("m.at").alias("first_batch"), F.col("at").isNotNull().alias("stored"))
 
 
 class DuplicateIndex:
-    """The accepted history: its block tables, the person (smallest id) of each linked lead, and the given names in use.
+    """The accepted history as a folder that is appended to: see the module's text.
 
-    build() makes it from the first batch; check() looks up one or more new batches, whose leads
-    may match any lower batch or each other, and returns what was found with the index that
-    includes them. Stored tables are never rewritten: appending adds rows.
+    build() makes it from the first batch, load() opens it again, append() looks up one more batch and adds it, check()
+    does so and gives what was found, report() gives what all batches so far have brought.
     """
 
-    def __init__(self, names: DataFrame, persons: DataFrame, people: DataFrame, given_names: list[str]) -> None:
-        self.names, self.persons, self.people, self.given_names = names, persons, people, given_names
+    def __init__(self, spark: SparkSession, path: str, buckets: int, given_names: list[str]) -> None:
+        self.spark, self.path, self.buckets, self.given_names = spark, path, buckets, given_names
+        self.table = f"siftwell_blocks_{uuid.uuid4().hex[:12]}"
+        spark.sql(f"CREATE TABLE {self.table} ({BLOCKS}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{path}/blocks'")
 
     @classmethod
-    def build(cls, leads: DataFrame) -> DuplicateIndex:
+    def build(cls, leads: DataFrame, path: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DuplicateIndex:
+        """The index of a first batch, in the folder `path` (by default one beside the session's own steps)."""
+        spark = leads.sparkSession
+        path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex[:12]}"
         given_names = given_name_table(leads)
-        people = materialise(identities(leads, given_names), "people")
-        rows = materialise(evidence_rows(people, given_names), "evidence")
-        names = materialise(one_per_name(rows), "names")
-        tables = rotated(names)
-        links = name_links(rows, names).unionByName(lookup(tables, tables, given_names)).unionByName(nameless_links(people))
-        return cls(names, materialise(group_links(links, group="person"), "persons"), people, given_names)
-
-    def check(self, leads: DataFrame) -> tuple[DataFrame, DuplicateIndex]:
-        """(found, index): found has earlier_id and id of every new lead whose person has a lead in a lower batch.
-
-        Leads without any evidence, or with neither name nor own mailbox, are accepted without a match. Null
-        fields, blank texts and stand-ins are no evidence. Repeated rows give one result; other
-        columns of the batch are ignored; an empty batch finds nothing.
+        people, names, seen = cls._read(leads, given_names)
+        index = cls(spark, path, max(LEAST_BUCKETS, -(-3 * seen["rows"] // bucket_rows)), given_names)
+        spark.createDataFrame([(json.dumps({"buckets": index.buckets, "given_names": given_names}),)], "value string").coalesce(1).write.text(f"{path}/meta")
+        links, n = index._links(people, names, seen, history=False)
+        index._store(names, materialise(persons_of(links, n), "persons"))
+        return index
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> DuplicateIndex:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        return cls(spark, path, meta["buckets"], meta["given_names"])
+
+    @staticmethod
+    def _read(leads: DataFrame, given_names: list[str]) -> tuple[DataFrame, DataFrame, dict]:
+        people, some = observed(fingerprinted(leads, given_names), "people", blank=F.count_if(F.expr("family = '' and mailbox <> '' and not role")))
+        names, seen = observed(one_per_name(people), "names", most=F.max("n"), rows=F.count(F.lit(1)))
+        return people, names, {"most": seen["most"] or 0, "rows": seen["rows"] or 0, "blank": some["blank"] or 0}
+
+    @staticmethod
+    def _blocks(names: DataFrame) -> DataFrame:
+        own = names.withColumn("box", F.col("kind") == "box")
+        if "person" not in names.columns:
+            own = own.withColumns({"person": F.col("id"), "first_batch": F.col("batch_no")})
+        return rotated(own, *_SIDE)
+
+    def _links(self, people: DataFrame, names: DataFrame, seen: dict, history: bool) -> tuple[DataFrame, int]:
+        """The links (a, a_batch, b) of new names with each other and, with history, with stored persons; and how many."""
+        own = self._blocks(names)
+        pairs = met(own)
+        if history:
+            pairs = pairs.unionByName(met(own, self.spark.table(self.table)))
+        links = verified(pairs, self.given_names)
+        known = name_links(people, names, seen["most"])
+        if seen["blank"]:  # leads without a name are linked to the first with their box
+            blank = people.filter("family = '' and mailbox <> '' and not role").select(F.xxhash64(F.lit("box"), F.col("mailbox")).alias("ev"), F.col("id").alias("b"))
+            boxes = names.filter("kind = 'box'").select("ev", F.col("id").alias("a"))
+            known = known.unionByName((blank.join(boxes, "ev") if seen["blank"] <= HOT_LEAST else lookup_join(blank, boxes, ["ev"], "inner")).filter("a <> b").select("a", "b"))
+        links, found = observed(links.unionByName(known.select("a", F.lit(None).cast("int").alias("a_batch"), "b")), "links", n=F.count(F.lit(1)))
+        return links, found["n"]
+
+    def _store(self, names: DataFrame, linked: DataFrame) -> None:
+        """Appends the block tables of names, each row with the person that its lead is now known to be."""
+        placed = names.join(linked.select("id", "person", F.col("first_batch").alias("_at")), "id", "left").withColumns({"person": F.coalesce("person", "id"), "first_batch": F.coalesce("_at", "batch_no")}).drop("_at")
+        rows = self._blocks(placed).select("key", "t", *_SIDE).repartition(self.buckets, "key")
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/blocks").saveAsTable(self.table)
+
+    def append(self, leads: DataFrame, batch_no: int) -> DataFrame | None:
+        """Looks up a batch and adds it. The log rows (LINKED) of its leads and of the stored persons that they were linked to; None for an empty batch."""
+        own = leads.withColumn("batch_no", F.lit(batch_no))
+        people, names, seen = self._read(own, self.given_names)
+        if not seen["rows"]:
+            return None
+        links, n = self._links(people, names, seen, history=True)
+        at = f"{self.path}/linked/batch_no={batch_no}"
+        persons_of(links, n).write.mode("overwrite").parquet(at)
+        linked = self.spark.read.schema(LINKED).parquet(at)
+        self._store(names, linked.filter("not stored"))
+        for done in (links, names, people):
+            release(done)
+        return linked
+
+    def check(self, leads: DataFrame, batch_no: int) -> DataFrame:
+        """(earlier_id, id) of every lead of the batch whose person is in the index, which then holds the batch too.
+
+        A batch has a higher batch_no than all before, and higher ids. Leads without any evidence, or with neither name nor
+        own mailbox, are accepted without a match. Null fields, blank texts and stand-ins are no evidence. Repeated rows give
+        one result; other columns of the batch are ignored; an empty batch reads nothing of the index and finds nothing.
         """
-        fresh = materialise(identities(leads, self.given_names), "people")
-        rows = materialise(evidence_rows(fresh, self.given_names), "evidence")
-        own = materialise(one_per_name(rows), "names")
-        stored = self.names.unionByName(own)
-        tables = rotated(own)
-        links = name_links(rows, own).unionByName(lookup(tables, rotated(stored), self.given_names))
-        every = self.people.unionByName(fresh)
-        links = links.unionByName(nameless_links(every).join(fresh.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
-        # The person of an accepted lead is known: links to it become links to its smallest id.
-        roots = links.join(self.persons.select(F.col("id").alias("a"), "person"), "a", "left").select(F.coalesce("person", "a").alias("a"), "b")
-        roots = roots.join(self.persons.select(F.col("id").alias("b"), "person"), "b", "left").select("a", F.coalesce("person", "b").alias("b"))
-        joined = materialise(group_links(roots, group="person"), "persons")
-        batches = fresh.select("id", "batch_no").distinct()
-        first = every.join(joined.select(F.col("person").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("person"), F.col("batch_no").alias("first_batch")).distinct()
-        found = joined.join(batches, "id").join(first, "person").filter("first_batch < batch_no").select(F.col("person").alias("earlier_id"), "id").distinct()
-        moved = self.persons.join(joined.select(F.col("id").alias("person"), F.col("person").alias("_to")), "person", "left").select(F.coalesce("_to", "person").alias("person"), "id")
-        persons = moved.unionByName(joined.select("person", "id").join(self.persons.select("id"), "id", "left_anti"))
-        return found, DuplicateIndex(stored, persons, every, self.given_names)
+        linked = self.append(leads, batch_no)
+        if linked is None:
+            return self.spark.createDataFrame([], "earlier_id bigint, id bigint")
+        return self._earlier(linked.withColumn("batch_no", F.lit(batch_no)))
+
+    def _log(self) -> DataFrame | None:
+        if not exists(self.spark, f"{self.path}/linked"):
+            return None
+        return self.spark.read.schema(f"{LINKED}, batch_no int").parquet(f"{self.path}/linked")
+
+    def _earlier(self, linked: DataFrame) -> DataFrame:
+        """(earlier_id, id) of log rows, persons that later batches showed to be one taken together."""
+        merged = self._log().filter("stored and id <> person").select("id", "person", "first_batch")
+        ends = connected_components(merged, "id", "person").filter("id <> root").select(F.col("id").alias("person"), "root")
+        ends = ends.join(merged.groupBy(F.col("person").alias("root")).agg(F.min("first_batch").alias("root_batch")), "root", "left")
+        new = lookup_join(linked.filter("not stored").drop("stored"), ends, ["person"], "left")
+        first = F.when(F.col("root").isNotNull(), F.col("root_batch")).otherwise(F.col("first_batch"))
+        return new.filter(first < F.col("batch_no")).select(F.coalesce("root", "person").alias("earlier_id"), "id").distinct()
+
+    def report(self) -> DataFrame:
+        """(earlier_id, id) of every lead checked so far whose person has a lead in a lower batch; earlier_id is the smallest id of the person's leads, as all batches together show it."""
+        log = self._log()
+        return self.spark.createDataFrame([], "earlier_id bigint, id bigint") if log is None else self._earlier(log)
+
+
+def check_batches(leads: DataFrame, first: int = 1, path: str | None = None) -> DataFrame:
+    """(earlier_id, id): the batches of leads by batch_no, those below `first` (and null) as history, the others checked and appended one after another in order; see DuplicateIndex.report."""
+    own = leads.withColumn("batch_no", F.coalesce(F.col("batch_no").cast("int"), F.lit(0)))
+    index = DuplicateIndex.build(own.filter(F.col("batch_no") < first), path)
+    batches = sorted(r[0] for r in own.select("batch_no").filter(F.col("batch_no") >= first).distinct().collect())  # one small number a batch
+    for n in batches:
+        index.append(own.filter(F.col("batch_no") == n), n)
+    return index.report()

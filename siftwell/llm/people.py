@@ -7,7 +7,7 @@ the table of given names, which is learned from all of them.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -164,8 +164,8 @@ IDENTITY = T.StructType([
 ])
 
 
-def identities(leads: DataFrame, given_names: list[str]) -> DataFrame:
-    """One row per lead (id, batch_no, given, family, mailbox, role, line, firms); absent parts are ''."""
+def identities(leads: DataFrame, given_names: list[str], add: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: T.StructType = IDENTITY) -> DataFrame:
+    """One row per lead (id, batch_no, given, family, mailbox, role, line, firms); absent parts are ''. add: what else is done to each batch of them, with the schema it then has."""
     known = frozenset(given_names)
     text = lambda c: F.col(c).cast("string").alias(c)
     base = leads.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("batch_no").cast("int"), F.lit(0)).alias("batch_no"), text("display_name"), text("email"), text("phone_raw"), text("phone_digits"), text("domain_root"), text("company_name"))
@@ -179,13 +179,14 @@ def identities(leads: DataFrame, given_names: list[str]) -> DataFrame:
                 root = root or (box.partition("@")[2] if box else "")
                 own = {firm_core(company) if company else "", domain_core(root) if root else ""} - {""}
                 firms.append(sorted(x for x in own if len(x) > 2))
-            yield pd.DataFrame({
+            own = pd.DataFrame({
                 "id": b["id"], "batch_no": b["batch_no"], "given": [n[0] for n in names], "family": [n[1] for n in names],
                 "mailbox": [x[0] for x in boxes], "role": [x[1] for x in boxes],
                 "line": [phone_line(r, d) for r, d in zip(b["phone_raw"], b["phone_digits"], strict=True)], "firms": firms,
             })
+            yield add(own) if add else own
 
-    return base.mapInPandas(read, IDENTITY)
+    return base.mapInPandas(read, schema)
 
 
 def evidence(people: DataFrame, *more: str) -> DataFrame:

@@ -37,10 +37,7 @@ def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = table(spark, sf_dir, "leads")
-    history = incremental.DuplicateIndex.build(leads.filter("coalesce(batch_no, 0) < 1"))
-    found, _ = history.check(leads.filter("batch_no >= 1"))
-    return found
+    return incremental.check_batches(table(spark, sf_dir, "leads"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ trigram and clustered in rounds, so no group is gathered. Both ways give the sam
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -82,7 +83,7 @@ class Vectors:
 
     def _vector(self, text: str) -> tuple[set[int], float]:
         cells = trigrams(text)
-        return cells, float(np.sqrt(sum(self.square[c] for c in cells)))
+        return cells, math.sqrt(sum(map(self.square.__getitem__, cells)))
 
     def _head(self, text: str) -> list[int]:
         square = self.square
@@ -98,8 +99,7 @@ class Vectors:
 
     def cosine(self, a: str, b: str) -> float:
         (x, nx), (y, ny) = self.vector(a), self.vector(b)
-        square = self.square
-        return sum(square[c] for c in x & y) / (nx * ny)
+        return sum(map(self.square.__getitem__, x & y)) / (nx * ny)
 
 
 def heads(rows: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:

@@ -105,16 +105,61 @@ PEOPLE = [
 ]
 
 
-def test_new_batches_against_history(spark):
+def rows_of(df):
+    return {(r["earlier_id"], r["id"]) for r in df.collect()}
+
+
+def test_new_batches_against_history(spark, tmp_path):
+    leads = people_of(spark, PEOPLE)
+    own = lambda n: leads.filter(F.col("batch_no") == n)
+    path = f"file://{tmp_path}/index"
+    index = incremental.DuplicateIndex.build(own(0), path)
+    assert rows_of(index.check(own(1), 1)) == {(1, 3)} and rows_of(index.check(own(2), 2)) == set() and rows_of(index.check(own(3), 3)) == {(1, 5)}
+    index = incremental.DuplicateIndex.load(spark, path)  # opened again
+    assert rows_of(index.check(own(5).unionByName(own(5)), 5)) == {(1, 8)}
+    assert rows_of(index.report()) == {(1, 3), (1, 5), (1, 8)} == rows_of(incremental.check_batches(leads))
+    assert incremental.check_batches(leads.limit(0)).count() == 0 and incremental.check_batches(own(4)).count() == 0
+
+
+def test_an_empty_batch_reads_no_history(spark, tmp_path):
+    import shutil
+
     leads = people_of(spark, PEOPLE)
+    index = incremental.DuplicateIndex.build(leads.filter("batch_no = 0"), f"file://{tmp_path}/index")
+    shutil.rmtree(tmp_path / "index" / "blocks")
+    assert index.check(leads.limit(0), 1).count() == 0
+    assert index.check(leads.filter("id = 7"), 2).count() == 0  # a lead without any evidence
+
+
+def test_stored_buckets_are_not_shuffled(spark, tmp_path):
+    leads = people_of(spark, PEOPLE)
+    index = incremental.DuplicateIndex.build(leads.filter("batch_no = 0"), f"file://{tmp_path}/index")
+    _, names, _ = index._read(leads.filter("batch_no = 1"), index.given_names)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = incremental.met(index._blocks(names), spark.table(index.table))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 1 and "ShuffledHashJoin" in plan
+
+
+def test_a_later_lead_shows_two_persons_to_be_one(spark):
+    rows = [(1, 0, "Ana Brenvik", "ana@one.test", None, None), (2, 0, "Ana Brenvik", "ana@two.test", None, None), (3, 1, "A. Brenvik", "ana@two.test", None, None), (4, 2, "Ana Brenvik", "ana@one.test", None, "Two"), (5, 3, "Ana Brenvik", None, None, "Two")]
+    leads = people_of(spark, rows)
     index = incremental.DuplicateIndex.build(leads.filter("batch_no = 0"))
-    found, index = index.check(leads.filter("batch_no between 1 and 4"))
-    assert {(r["earlier_id"], r["id"]) for r in found.collect()} == {(1, 3), (1, 5)}
-    later, _ = index.check(leads.filter("batch_no = 5").unionByName(leads.filter("batch_no = 5")))
-    assert {(r["earlier_id"], r["id"]) for r in later.collect()} == {(1, 8)}
-    nothing, _ = index.check(leads.limit(0))
-    assert nothing.count() == 0
-    assert incremental.DuplicateIndex.build(leads.limit(0)).check(leads.filter("batch_no = 4"))[0].count() == 0
+    assert rows_of(index.check(leads.filter("batch_no = 1"), 1)) == {(2, 3)}
+    assert rows_of(index.check(leads.filter("batch_no = 2"), 2)) == {(1, 4)}
+    assert rows_of(index.report()) == {(1, 3), (1, 4)}
+    assert rows_of(index.check(leads.filter("batch_no = 3"), 3)) == {(1, 5)}
+
+
+def test_persons_in_one_task_and_in_rounds(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(100), 0, 100 + rng.randrange(200)) for _ in range(90)] + [(100 + rng.randrange(200), None, 100 + rng.randrange(200)) for _ in range(60)]
+    df = spark.createDataFrame(links, "a bigint, a_batch int, b bigint").filter("a <> b")
+    here, rounds = (sorted(map(str, incremental.persons_of(df, n).collect())) for n in (len(links), 10**9))
+    assert here == rounds and "stored=True" in here[0]
 
 
 def test_recall_of_the_index_against_brute_force(spark):
@@ -125,8 +170,10 @@ def test_recall_of_the_index_against_brute_force(spark):
 
     leads = spark.read.parquet("/root/testdata/sf0.01/leads.parquet")
     names = given_name_table(leads)
-    index = incremental.DuplicateIndex.build(leads)
-    who = {r["id"]: r["person"] for r in index.persons.collect()}
+    index = incremental.DuplicateIndex.build(leads.limit(0))
+    index.given_names = names
+    links, n = index._links(*index._read(leads, names), history=False)
+    who = {r["id"]: r["person"] for r in incremental.persons_of(links, n).collect()}
     by = {}
     for r in identities(leads, names).collect():
         if r["family"]:
