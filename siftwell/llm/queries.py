@@ -17,25 +17,29 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "leads"))
 
 
-def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _survivors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     groups = materialise(p4_found(spark, sf_dir), "groups")
     return survivors.survivors(table(spark, sf_dir, "leads"), groups, table(spark, sf_dir, "origins"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _survivors(spark, sf_dir).filter("decided").select("group_id", "field", "id")
+    return _survivors(spark, sf_dir)[0].filter("decided").select("group_id", "field", "id")
 
 
 def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One surviving record per group: the chosen job_title and lead_score, the leads they come from, all titles judged true."""
-    chosen = _survivors(spark, sf_dir)
+    """One surviving record per group: the chosen job_title and lead_score and the leads they come from."""
     of = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
-    return chosen.groupBy("group_id").agg(
-        of("job_title", "value").alias("job_title"), of("job_title", "id").alias("job_title_from"), of("job_title", "kept").alias("job_titles"),
+    return _survivors(spark, sf_dir)[0].groupBy("group_id").agg(
+        of("job_title", "value").alias("job_title"), of("job_title", "id").alias("job_title_from"),
         of("lead_score", "value").cast("int").alias("lead_score"), of("lead_score", "id").alias("lead_score_from"),
     )
 
 
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value judged true, one row each, however many a group keeps."""
+    return _survivors(spark, sf_dir)[1].select("group_id", "field", "value", F.round(1 / (1 + F.exp(-F.col("z"))), 4).alias("p"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.check_batches(table(spark, sf_dir, "leads"))
 
@@ -85,7 +89,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_survivors, p3_found, p4_found, p5_found, p6_found, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_clean)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_survivors, p2_values, p3_found, p4_found, p5_found, p6_found, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -63,26 +63,70 @@ def test_survivors(spark):
     ).withColumn("value", F.lit(1))
     groups = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (4, 4), (4, 5), (6, 6), (6, 7), (6, 8), (8, 9)], "group_id bigint, id bigint")
     origins = spark.createDataFrame([("low", "UTC", "mdy", 1), ("mid", "UTC", "mdy", 2), ("high", "UTC", "mdy", 3)], "origin string, zone_name string, slash_order string, trust int")
-    got = {(r["group_id"], r["field"]): r for r in survivors.survivors(leads.unionByName(leads), groups.unionByName(groups), origins).collect()}
+    chosen, kept = survivors.survivors(leads.unionByName(leads), groups.unionByName(groups), origins)
+    got = {(r["group_id"], r["field"]): r for r in chosen.collect()}
     assert {k for k, r in got.items() if r["decided"]} == {(1, "job_title"), (8, "job_title")}
     assert got[1, "job_title"]["id"] == 2 and got[8, "job_title"]["id"] == 9 and (4, "job_title") not in got
-    assert got[6, "job_title"]["value"] in got[6, "job_title"]["kept"]
-    assert survivors.survivors(leads.limit(0), groups, origins).count() == 0 and survivors.survivors(leads, groups.limit(0), origins).count() == 0
+    assert {(g, f, r["value"]) for (g, f), r in got.items()} <= {(r["group_id"], r["field"], r["value"]) for r in kept.collect()}
+    for empty in (survivors.survivors(leads.limit(0), groups, origins), survivors.survivors(leads, groups.limit(0), origins)):
+        assert empty[0].count() == 0 and empty[1].count() == 0
 
 
-def test_quality_model_learns_the_bad_source(spark):
+def stated(spark, groups=120):
+    """Groups of three origins, of which one mostly states something else."""
     rng = random.Random(4)
     rows = []
-    for g in range(120):
+    for g in range(groups):
         truth = f"t{g % 7}"
         for k, origin in enumerate(("good", "fine", "bad")):
-            rows.append((g, "job_title", g * 10 + k, truth if rng.random() < {"good": 0.95, "fine": 0.9, "bad": 0.2}[origin] else f"w{rng.randrange(50)}", origin, 1, 0))
-    df = spark.createDataFrame(rows, "group_id bigint, field string, id bigint, value string, origin string, trust int, at bigint")
-    _, params = survivors.infer_quality(df)
-    sens = {p["origin"]: p["sens"] for p in params}
+            rows.append((g, "job_title", g * 10 + k, truth if rng.random() < {"good": 0.95, "fine": 0.9, "bad": 0.2}[origin] else f"w{rng.randrange(50)}", origin, 1, 0, 0))
+    return spark.createDataFrame(rows, "group_id bigint, field string, id bigint, value string, origin string, trust int, at bigint, standing int")
+
+
+def test_quality_model_learns_the_bad_source(spark):
+    _, quality, names = survivors.infer_quality(stated(spark))
+    sens = {o: quality["job_title"].sens[i * 5] for i, o in enumerate(names)}
     assert sens["bad"] < 0.5 < sens["fine"] and sens["good"] > 0.8
 
 
+def test_quality_model_against_plain_em(spark):
+    """The patterns give what EM over every single fact gives."""
+    import math
+
+    df = stated(spark, 40)
+    facts, quality, names = survivors.infer_quality(df)
+    rows = df.collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["group_id"], {}).setdefault(r["value"], set()).add(r["origin"])
+    sens, spec, prior = dict.fromkeys(names, 0.8), dict.fromkeys(names, 0.8), 0.5
+    clip = lambda x: max(-3.0, min(3.0, x))
+    weigh = lambda says: math.log(prior / (1 - prior)) + sum(clip(math.log(sens[o] / (1 - spec[o]))) if o in says else clip(math.log((1 - sens[o]) / spec[o])) for o in names)
+    for _ in range(100):
+        p = {(g, v): 1 / (1 + math.exp(-weigh(says))) for g, own in groups.items() for v, says in own.items()}
+        old = (dict(sens), dict(spec), prior)
+        for o in names:
+            t, f = sum(p.values()), sum(1 - x for x in p.values())
+            sens[o] = (sum(x for (g, v), x in p.items() if o in groups[g][v]) + 2) / (t + 4)
+            spec[o] = (sum(1 - x for (g, v), x in p.items() if o not in groups[g][v]) + 2) / (f + 4)
+        prior = (sum(p.values()) + 1) / (len(p) + 2)
+        if max([abs(sens[o] - old[0][o]) for o in names] + [abs(spec[o] - old[1][o]) for o in names] + [abs(prior - old[2])]) < 1e-4:
+            break
+    spread, _, _ = survivors.infer_quality(df, local_patterns=0)  # a job a round
+    for r in facts.unionByName(spread).collect():
+        assert r["z"] == pytest.approx(weigh(groups[r["group_id"]][r["value"]]), abs=1e-6)
+
+
+def test_the_model_decides(spark):
+    """With other log-odds, other leads are chosen and found."""
+    df = stated(spark).withColumn("standing", F.when(F.col("origin") == "good", 4).otherwise(0))
+    facts, quality, names = survivors.infer_quality(df)
+    found = {r["id"] for r in survivors.choose(df, facts, quality, names).filter("decided").collect()}
+    assert found == {g * 10 for g in range(120)}
+    other = survivors.choose(df, facts.withColumn("z", F.rand(3)), quality, names).filter("decided")
+    assert {r["id"] for r in other.collect()} != found
+
+
 # ---------- 3 and 6: persons and firms
 
 LEAD = "id bigint, batch_no int, display_name string, email string, phone_raw string, phone_digits string, domain_root string, company_name string"
@@ -138,10 +182,10 @@ def test_stored_buckets_are_not_shuffled(spark, tmp_path):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = incremental.met(index._blocks(names), spark.table(index.table))._jdf.queryExecution().executedPlan().toString()
+        plan = incremental.met(incremental.rotated(names), spark.table(index.tables["blocks"]))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plan.count("Exchange hashpartitioning") == 1 and "ShuffledHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning(key") == 1 and "ShuffledHashJoin" in plan
 
 
 def test_a_later_lead_shows_two_persons_to_be_one(spark):
