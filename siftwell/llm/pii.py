@@ -124,9 +124,12 @@ def gold_tags(starts: list[int], ends: list[int], spans: list[tuple[int, int, st
     return tags
 
 
-def train(size: int = 2000, epochs: int = 6, batch: int = 48, rate: float = 0.25, l2: float = 1e-6, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(W [BUCKETS, K], T [K + 1, K]) by AdaGrad on the conditional likelihood; T's last row holds the starts."""
-    table = labelled_notes(size, seed)
+def train(size: int = 8000, epochs: int = 6, batch: int = 48, rate: float = 0.25, l2: float = 1e-6, seed: int = 5, held_out: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(W [BUCKETS, K], T [K + 1, K]) by AdaGrad on the conditional likelihood; T's last row holds the starts.
+
+    size bounds the labelled notes; held_out: see labelled_notes.
+    """
+    table = labelled_notes(size, seed, held_out)
     data = []
     for text, spans in table:
         x, s, e = features(text)
@@ -186,7 +189,7 @@ def train(size: int = 2000, epochs: int = 6, batch: int = 48, rate: float = 0.25
 
 
 @lru_cache(maxsize=2)
-def model(size: int = 2000, epochs: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def model(size: int = 8000, epochs: int = 6) -> tuple[np.ndarray, np.ndarray]:
     return train(size, epochs)
 
 

@@ -14,12 +14,24 @@ def tagger():
     return pii.model()
 
 
-def test_held_out_accuracy(tagger):
-    held = pii_table.labelled_notes(300, seed=991)
+def test_held_out_accuracy():
+    """Notes made of sentences that the tagger never saw: every fifth frame is kept from it."""
+    tagger = pii.train(held_out=False)
+    held = pii_table.labelled_notes(400, seed=991, held_out=True)
     found = pii.find_in([t for t, _ in held], *tagger)
     hit = sum(len({(a, b) for a, b, _ in s} & {(a, b) for a, b, _ in f}) for (_, s), f in zip(held, found, strict=True))
     want, got = sum(len(s) for _, s in held), sum(len(f) for f in found)
-    assert hit / want > 0.95 and hit / got > 0.95
+    assert hit / want > 0.9 and hit / got > 0.9
+
+
+def test_the_labelled_table_shares_no_sentence_with_the_notes(spark):
+    import re
+
+    notes = [r["notes"] for r in spark.read.parquet("/root/testdata/sf0.01/leads.parquet").select("notes").filter("notes is not null").distinct().collect()]
+    text = "\n".join(notes)
+    for frame in pii_table._frames(pii_table.FRAMES) + pii_table._frames(pii_table.PLAIN):
+        for piece in re.split(r"\{[^}]*\}", frame.replace("\x00", " | ")):
+            assert len(piece.strip()) < 12 or piece.strip() not in text, frame
 
 
 def test_spans_and_redaction(spark):
@@ -182,7 +194,7 @@ def test_stored_buckets_are_not_shuffled(spark, tmp_path):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = incremental.met(incremental.rotated(names), spark.table(index.tables["blocks"]))._jdf.queryExecution().executedPlan().toString()
+        plan = incremental.met(incremental.rotated(names), spark.table(index.table))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning(key") == 1 and "ShuffledHashJoin" in plan
@@ -214,10 +226,8 @@ def test_recall_of_the_index_against_brute_force(spark):
 
     leads = spark.read.parquet("/root/testdata/sf0.01/leads.parquet")
     names = given_name_table(leads)
-    index = incremental.DuplicateIndex.build(leads.limit(0))
-    index.given_names = names
-    links, n = index._links(*index._read(leads, names), history=False)
-    who = {r["id"]: r["person"] for r in incremental.persons_of(links, n).collect()}
+    index = incremental.DuplicateIndex.build(leads.withColumn("batch_no", F.lit(0)))
+    who = {r["id"]: r["person"] for r in index._log().collect()}
     by = {}
     for r in identities(leads, names).collect():
         if r["family"]:
@@ -376,10 +386,20 @@ def test_mapping(spark):
     assert [got[i, "country"] for i in range(4)] == ["Germany", "Germany", "United States", "South Korea"]
     assert not any(i in (4, 5) for i, _ in got) and {got[6, f] for f in ("status_raw", "owner_raw", "country")} == {"(unmatched)"}
     shards = {(r["id"], r["field"]): r["canonical"] for r in canonical.map_values(df, ref, shard_size=4).collect()}
-    assert {k: v for k, v in shards.items() if k[1] != "owner_raw"} == {k: v for k, v in got.items() if k[1] != "owner_raw"}
+    assert shards == got
     assert canonical.map_values(df.limit(0), ref).count() == 0 and {r["canonical"] for r in canonical.map_values(df, ref.limit(0)).collect()} == {"(unmatched)"}
 
 
+def test_shards_answer_like_one_tree(spark):
+    """All typed values of a table, with one tree and with many shards; and errors in short entries."""
+    leads, ref = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("leads", "ref_values"))
+    one, many = (sorted(map(tuple, canonical.map_values(leads, ref, shard_size=n).collect())) for n in (20_000, 9))
+    assert one == many and len(one) > 100
+    typed = spark.createDataFrame([("status_raw", v) for v in ("Nwe", "nw", "n", "None")] + [("country", v) for v in ("U.A.E.", "Korea (South)", "S. Africa", "Rep. of Ireland", "S'pore", "DEU", "Oesterreich", "de")], "field string, value string")
+    got = {r["value"]: r["canonical"] for r in canonical.match_values(typed, ref).collect()}
+    assert got == {"Nwe": "New", "nw": "New", "U.A.E.": "United Arab Emirates", "Korea (South)": "South Korea", "S. Africa": "South Africa", "Rep. of Ireland": "Ireland", "S'pore": "Singapore", "DEU": "Germany", "Oesterreich": "Austria"}
+
+
 def test_tree_against_brute_force():
     from siftwell.functions.names import edits
 
