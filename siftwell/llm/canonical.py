@@ -1,23 +1,24 @@
 """Free-entered values mapped to a canonical list with a BK-tree under a true edit metric.
 
 The metric is the unrestricted Damerau-Levenshtein distance on folded text, so the triangle
-inequality prunes subtrees without losing an entry within the threshold. Each distinct typed
-value is searched once; a reference list of up to `shard_size` entries is one tree that every
-task holds, a longer one is split into shards that search on their own and merge their winners.
+inequality prunes subtrees without losing an entry within the threshold. The tree holds each entry and its other
+spellings that are no mistakes, which are met at distance 0 only. Each distinct typed value is searched once. A
+reference list of up to `shard_size` entries is one tree that every task holds; a longer one is split into shards, every
+value searches each of them, and what they found is merged: the answer does not depend on the number of shards.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftwell.functions.names import FORMAL, edits, fold, plain, squash
 from siftwell.operators.skew import lookup_join
+from siftwell.session import materialise
 
 UNMATCHED = "(unmatched)"
 SHARD = 20_000
@@ -33,69 +34,56 @@ STATUS_WORDS = {
     "Closed Lost": "lost verloren cllost perdido perdu closelost",
 }
 
-# Codes of countries (two and three letters) and other names they go by.
-COUNTRY_WORDS = {
-    "Argentina": "AR ARG Argentinien Argentine",
-    "Australia": "AU AUS Australien Australie Oz",
-    "Austria": "AT AUT Österreich Oesterreich Autriche",
-    "Brazil": "BR BRA Brasil Brasilien Brésil",
-    "Canada": "CA CAN Kanada Canadá",
-    "Chile": "CL CHL Chili",
-    "China": "CN CHN PRC P.R.China 中国 PeoplesRepublicofChina Chine",
-    "Colombia": "CO COL Kolumbien Colombie",
-    "Czechia": "CZ CZE CzechRepublic Česko Tschechien ČeskáRepublika Tchéquie",
-    "Denmark": "DK DNK Danmark Dänemark Danemark",
-    "Egypt": "EG EGY Ägypten Misr مصر Égypte",
-    "Finland": "FI FIN Suomi Finnland Finlande",
-    "France": "FR FRA Frankreich Francia Républiquefrançaise",
-    "Germany": "DE DEU GER Deutschland Allemagne Alemania Fed.Rep.ofGermany FederalRepublicofGermany BRD",
-    "Greece": "GR GRC Hellas Ελλάδα Griechenland Grèce",
-    "Hungary": "HU HUN Magyarország Ungarn Hongrie",
-    "Iceland": "IS ISL Ísland Island Islande",
-    "India": "IN IND Bharat Indien Inde भारत",
-    "Indonesia": "ID IDN Indonesien Indonésie",
-    "Ireland": "IE IRL Éire Eire Rep.ofIreland RepublicofIreland Irland Irlande",
-    "Italy": "IT ITA Italia Italien Italie",
-    "Japan": "JP JPN 日本 Nippon Japon Nihon",
-    "Kenya": "KE KEN Kenia",
-    "Malaysia": "MY MYS Msia M'sia",
-    "Mexico": "MX MEX México Mexiko Mexique",
-    "Morocco": "MA MAR Maroc Marokko Marruecos",
-    "Netherlands": "NL NLD Nederland TheNetherlands Holland Niederlande PaysBas",
-    "New Zealand": "NZ NZL N.Z. Aotearoa Neuseeland",
-    "Niger": "NE NER Rép.duNiger RépubliqueduNiger",
-    "Nigeria": "NG NGA FederalRepublicofNigeria",
-    "Norway": "NO NOR Norge Norwegen Norvège Noreg",
-    "Philippines": "PH PHL ThePhilippines Filipinas Pilipinas Philippinen",
-    "Poland": "PL POL Polska Polen Pologne",
-    "Portugal": "PT PRT PortugueseRepublic",
-    "Romania": "RO ROU România Rumänien Roumanie",
-    "Saudi Arabia": "SA SAU KSA Saudi KingdomofSaudiArabia SaudiArabien",
-    "Singapore": "SG SGP S'pore Singapur Singapour",
-    "Slovakia": "SK SVK Slovensko SlovakRepublic Slowakei",
-    "Slovenia": "SI SVN Slovenija Slowenien",
-    "South Africa": "ZA ZAF RSA S.Africa Südafrika RepublicofSouthAfrica SuidAfrika",
-    "South Korea": "KR KOR Korea(South) RepublicofKorea S.Korea Südkorea 한국 대한민국 Korea",
-    "Spain": "ES ESP España Spanien Espagne",
-    "Sweden": "SE SWE Sverige Schweden Suède",
-    "Switzerland": "CH CHE Schweiz Suisse Svizzera SwissConfederation",
-    "Thailand": "TH THA Prathet Thaïlande Siam",
-    "Turkey": "TR TUR Türkiye Turkiye Türkei Turquie",
-    "United Arab Emirates": "AE ARE UAE U.A.E. Emirates TheEmirates VAE",
-    "United Kingdom": "GB GBR UK U.K. GreatBritain Britain VereinigtesKönigreich RoyaumeUni",
-    "United States": "US USA U.S. U.S.A. UnitedStatesofAmerica EstadosUnidos theStates ÉtatsUnis America VereinigteStaaten",
-    "Vietnam": "VN VNM VietNam",
-}
-
-
-def spellings(field: str, canonical: str) -> Iterator[str]:
-    """The other ways of writing an entry of a field that are no mistakes, before folding."""
+# Names of countries that are in use but neither codes nor a language's usual name.
+INFORMAL = {
+    "Bolivia": "Plurinational State of Bolivia", "Cabo Verde": "Cape Verde", "China": "PRC|P.R. China|People's Republic of China|Mainland China", "Congo - Kinshasa": "DRC|Zaire|DR Congo", "Czechia": "Czech Republic|Czech Rep.",
+    "Côte d’Ivoire": "Ivory Coast", "Eswatini": "Swaziland", "France": "French Republic|République française", "Germany": "BRD|FRG", "Greece": "Hellas", "India": "Bharat", "Iran": "Persia|Islamic Republic of Iran", "Ireland": "Éire", "Japan": "Nippon|Nihon",
+    "Laos": "Lao PDR", "Malaysia": "Msia", "Myanmar (Burma)": "Burma|Myanmar", "Netherlands": "Holland", "New Zealand": "Aotearoa", "North Korea": "DPRK", "North Macedonia": "Macedonia|FYROM", "Russia": "Russian Federation",
+    "Saudi Arabia": "KSA|Saudi", "Slovakia": "Slovak Republic", "South Africa": "RSA", "South Korea": "Korea|ROK", "Sri Lanka": "Ceylon", "Switzerland": "Swiss Confederation|Helvetia", "Thailand": "Siam", "Timor-Leste": "East Timor",
+    "Turkey": "Türkiye", "United Arab Emirates": "Emirates|The Emirates", "United Kingdom": "Great Britain|Britain", "United States": "America|the States|United States of America", "Vatican City": "Holy See", "Vietnam": "Viet Nam",
+}
+#: Languages whose names of countries are known spellings, beside the country's own codes.
+LANGUAGES = "en de fr es it pt nl sv nb da fi is pl cs sk sl hu ro hr el tr ru uk ja ko zh ar he hi th vi id".split()
+# Words of official names that name no country.
+_OFFICIAL = frozenset("the of and du de la republic republique republica republik rep kingdom konigreich royaume reino fed federal federation bundesrepublik state".split())
+
+
+def country_words(spark: SparkSession, entries: list[str]) -> dict[str, list[str]]:
+    """{entry: other spellings} for the entries that name a country: its ISO codes of two (in capitals) and three letters and its name in LANGUAGES, from the JVM's locale data (ISO 3166 and CLDR), and INFORMAL."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    informal = {squash(k): v.split("|") for k, v in INFORMAL.items()}
+    named = {squash(e): e for e in entries}
+    out: dict[str, list[str]] = {}
+    for code in locale.getISOCountries():
+        place = locale("", code)
+        english = squash(place.getDisplayCountry(locale.ENGLISH))
+        own = next((k for k in (english, *(squash(x) for x in informal.get(english, ()))) if k in named), None)
+        if own:
+            names = [place.getDisplayCountry(locale.forLanguageTag(x)) for x in LANGUAGES]
+            out[named[own]] = [code, place.getISO3Country(), *names]
+    for k, words in informal.items():
+        if k in named:
+            out.setdefault(named[k], []).extend(words)
+    return out
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in (squash(x) for x in re.split(r"[\s.,()\-]+", text)) if w]
+
+
+def spellings(field: str, entry: str, words: list[str] = ()) -> Iterator[str]:  # type: ignore[assignment]
+    """The other ways of writing an entry of a field that are no mistakes, before folding. words: those known from elsewhere."""
+    yield from words
     if field == "status_raw":
-        yield from STATUS_WORDS.get(canonical, "").split()
+        yield from STATUS_WORDS.get(entry, "").split()
     elif field == "country":
-        yield from COUNTRY_WORDS.get(canonical, "").split()
+        own = entry.split()
+        if len(own) > 1:  # U.A.E., Korea (South), S. Africa
+            yield "".join(w[0] for w in own if w[0].isupper()).ljust(3)
+            yield " ".join(own[::-1])
+            yield f"{own[0][0]} {' '.join(own[1:])}"
     elif field == "owner_raw":
-        first, _, last = canonical.partition(" ")
+        first, _, last = entry.partition(" ")
         if last:
             own = fold(first)
             for given in [own, *(short for short, formal in FORMAL.items() if plain(own) in formal)]:
@@ -104,12 +92,12 @@ def spellings(field: str, canonical: str) -> Iterator[str]:
 
 
 class Tree:
-    """A BK-tree over folded strings; each node holds the entries that fold to its string."""
+    """A BK-tree over folded strings; each node holds the entries that fold to its string, or have a spelling that does."""
 
     def __init__(self) -> None:
         self.root: list | None = None
 
-    def add(self, key: str, entry: str) -> None:
+    def add(self, key: str, entry: object) -> None:
         if self.root is None:
             self.root = [key, [entry], {}]
             return
@@ -121,7 +109,7 @@ class Tree:
             node = node[2][d]
         node[1].append(entry)
 
-    def within(self, key: str, radius: int) -> list[tuple[int, str, str]]:
+    def within(self, key: str, radius: int) -> list[tuple[int, str, object]]:
         """(distance, string, entry) of every entry within radius."""
         found, todo = [], [self.root] if self.root else []
         while todo:
@@ -136,93 +124,104 @@ class Tree:
 _BRACKETS, _NUMBERED, _SPLIT = re.compile(r"\s*[(\[].*?[)\]]\s*"), re.compile(r"^\W*\d+\W+"), re.compile(r"\s+[-–—/|]\s+|[:;|/]")
 
 
-class Matcher:
-    """One field's entries: exact spellings first, then the tree.
+def reach(key: str, radius: int) -> int:
+    """The edits within which an entry is met: none under three letters, one under five, else radius."""
+    return 0 if len(key) < 3 else min(1, radius) if len(key) < 5 else radius
 
-    An entry of fewer than `short` letters is never reached by edits; others by up to `radius`.
-    Among entries at the same distance the one with the longest common beginning wins, then
-    the longer one, then the first in order.
-    """
 
-    def __init__(self, field: str, entries: list[str], radius: int = 2, short: int = 5) -> None:
-        self.radius, self.exact, self.codes, self.tree = radius, {}, {}, Tree()
-        seen: dict[str, set[str]] = {}
+class Matcher:
+    """What a field's entries, or a shard of them, know about a typed text: see hits()."""
+
+    def __init__(self, field: str, entries: list[str], radius: int = 2, words: dict[str, list[str]] | None = None) -> None:
+        self.field, self.radius, self.tree = field, radius, Tree()
+        self.codes: dict[str, str] = {}
+        self.parts: list[tuple[str, str, str]] = []
         for entry in sorted(set(entries)):
-            if len(k := squash(entry)) >= short:
-                self.tree.add(k, entry)
-            for text in spellings(field, entry):
+            if k := squash(entry):
+                self.tree.add(k, (entry, True))
+                self.parts.append((k[:1], k[-1:], entry))
+            for text in spellings(field, entry, (words or {}).get(entry, ())):
                 if len(text) == 2 and text.isupper():
                     self.codes[text] = entry
-                else:
-                    seen.setdefault(squash(text), set()).add(entry)
-        self.exact = {k: v.copy().pop() for k, v in seen.items() if len(v) == 1 and k}
-        self.exact |= {squash(e): e for e in sorted(set(entries), reverse=True) if squash(e)}
-
-    def __call__(self, text: str) -> tuple[int, str] | None:
-        """(distance, entry), or None if nothing is near enough."""
+                elif (k := squash(text)) and k != squash(entry):
+                    self.tree.add(k, (entry, False))
+
+    def at(self, form: str, radius: int) -> list[tuple[int, bool, str, str]]:
+        """(distance, whether by a spelling, string, entry) of what lies near a form of a text."""
+        key = squash(form)
+        found = self.tree.within(key, radius) if key else []
+        if (other := plain(key)) != key and not radius:  # ue, oe, ae for umlauts
+            found += self.tree.within(other, 0)
+        return [(d, not own, text, entry) for d, text, (entry, own) in found if d <= (reach(text, radius) if own else 0)]
+
+    def hits(self, text: str) -> list[tuple[int, int, int, int, str]]:
+        """(step, distance, -common beginning, -length, entry) of each entry near the text; step: how directly, the least one counts.
+
+        0 a code; 1 the text and 2 the text without brackets and number is an entry; 3 and 4 such a spelling of one; 5 and 6 a part of it is; 7 what is left
+        without words of official names; 8 letters left out for an apostrophe; 9 within the radius.
+        """
+        out: list[tuple[int, int, int, int, str]] = []
         if (code := text.strip()) in self.codes:
-            return 0, self.codes[code]
+            out.append((0, 0, 0, 0, self.codes[code]))
         bare = _NUMBERED.sub("", _BRACKETS.sub(" ", text)) or text
-        for form in dict.fromkeys((text, bare)):
-            if (k := squash(form)) in self.exact:
-                return 0, self.exact[k]
-        hits = {self.exact[k] for part in _SPLIT.split(bare) if (k := squash(part)) in self.exact}
-        if len(hits) == 1:
-            return 0, hits.pop()
+        for step, form in enumerate((text, bare), 1):
+            out += [(step + 2 * spelt, 0, 0, -len(k), e) for _, spelt, k, e in self.at(form, 0)]
+        for part in _SPLIT.split(bare):
+            out += [(5 + spelt, 0, 0, 0, e) for _, spelt, _, e in self.at(part, 0)]
+        if self.field == "country":
+            if (kept := [w for w in _words(text) if w not in _OFFICIAL]) and len(kept) < len(_words(text)):
+                out += [(7, 0, 0, 0, e) for _, _, _, e in self.at(" ".join(kept), 0)]
+            if m := re.fullmatch(r"\s*(\w+)['’](\w{2,})\s*", text):
+                a, z = squash(m[1]), squash(m[2])
+                out += [(8, 0, 0, 0, e) for e in (e for _, _, e in self.parts) if squash(e).startswith(a) and squash(e).endswith(z)]
         key = squash(bare)
-        near = self.tree.within(key, self.radius) if key else []
-        if not near:
-            return None
+        for d, spelt, k, e in self.at(bare, self.radius):
+            if not spelt:
+                same = next((n for n, (p, q) in enumerate(zip(key, k, strict=False)) if p != q), min(len(key), len(k)))
+                out.append((9, d, -same, -len(k), e))
+        return out
 
-        def rank(x: tuple[int, str, str]) -> tuple:
-            same = 0
-            for p, q in zip(key, x[1], strict=False):
-                if p != q:
-                    break
-                same += 1
-            return x[0], -same, -len(x[1]), x[2]
 
-        best = min(near, key=rank)
-        return best[0], best[2]
+#: Steps at which two entries contradict each other; at the others the nearest one wins.
+_STRICT = (0, 3, 4, 5, 6, 7, 8)
 
 
 def match_values(values: DataFrame, ref: DataFrame, shard_size: int = SHARD, radius: int = 2) -> DataFrame:
-    """(field, value, canonical) for distinct (field, value); canonical is null where nothing is near enough.
+    """(field, value, canonical) for distinct (field, value); canonical is null where nothing is near enough, or where the least step names two entries and the next ones none.
 
-    ref (field, canonical) is counted first. Up to shard_size entries are collected and go to
-    the tasks as one tree a field. A longer list stays distributed: it is hashed into shards, each
-    distinct value meets every shard, and the nearest of the shard winners is kept, ties by order.
+    ref (field, canonical) is counted first and split by a hash into shards of about shard_size entries; each goes to the
+    tasks as one tree a field, so a task holds one shard at a time. Of each step a shard keeps its first and last entry; the merge
+    of all shards sees whether a step is unanimous.
     """
+    spark = values.sparkSession
     entries = ref.filter("field is not null and canonical is not null").select("field", "canonical").distinct()
-    size = entries.count()
-    out = T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.StringType()), T.StructField("d", T.IntegerType()), T.StructField("canonical", T.StringType())])
-    if size <= shard_size:
+    shards = max(1, -(-entries.count() // shard_size))
+    out = "field string, value string, step int, d int, same int, size int, canonical string"
+    found = None
+    for shard in range(shards):
+        own = entries if shards == 1 else entries.filter(F.pmod(F.xxhash64("canonical"), F.lit(shards)) == shard)
         lists: dict[str, list[str]] = {}
-        for r in entries.collect():
+        for r in own.collect():  # about shard_size rows
             lists.setdefault(r["field"], []).append(r["canonical"])
+        words = {"country": country_words(spark, lists["country"])} if "country" in lists else {}
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matchers = {f: Matcher(f, e, radius) for f, e in lists.items()}
-            none: Callable = lambda _: None
+        def search(batches: Iterator[pd.DataFrame], lists=lists, words=words) -> Iterator[pd.DataFrame]:
+            matchers = {f: Matcher(f, e, radius, words.get(f)) for f, e in lists.items()}
             for batch in batches:
-                got = [matchers.get(f, none)(v) for f, v in zip(batch["field"], batch["value"], strict=True)]
-                yield pd.DataFrame({"field": batch["field"], "value": batch["value"], "d": pd.array([g and g[0] for g in got], "Int32"), "canonical": [g and g[1] for g in got]})
-
-        return values.select("field", "value").mapInPandas(search, out).drop("d")
-    shards = -(-size // shard_size)
-    left = values.select("field", "value").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).groupBy("field", "shard")
-    right = entries.withColumn("shard", F.pmod(F.xxhash64("canonical"), F.lit(shards)).cast("int")).groupBy("field", "shard")
-
-    def one(own: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame({"field": [], "value": [], "d": pd.array([], "Int32"), "canonical": []})
-        matcher = Matcher(own["field"].iloc[0], list(part["canonical"]), radius)
-        got = [matcher(v) for v in own["value"]]
-        return pd.DataFrame({"field": own["field"], "value": own["value"], "d": pd.array([g and g[0] for g in got], "Int32"), "canonical": [g and g[1] for g in got]})
-
-    winners = left.cogroup(right).applyInPandas(one, out)
-    best = F.min(F.when(F.col("canonical").isNotNull(), F.struct("d", "canonical")))
-    return winners.groupBy("field", "value").agg(best.alias("b")).select("field", "value", F.col("b.canonical").alias("canonical"))
+                rows = []
+                for f, v in zip(batch["field"], batch["value"], strict=True):
+                    got: dict[int, list] = {}
+                    for h in matchers[f].hits(v) if f in matchers else ():
+                        got.setdefault(h[0], []).append(h)
+                    for own in got.values():
+                        rows += [(f, v, *h) for h in {min(own), min(own, key=lambda h: h[4]), max(own, key=lambda h: h[4])}]
+                yield pd.DataFrame(rows, columns=["field", "value", "step", "d", "same", "size", "canonical"])
+
+        part = values.select("field", "value").mapInPandas(search, out)
+        found = part if found is None else found.unionByName(part)
+    steps = found.groupBy("field", "value", "step").agg(F.min(F.struct("d", "same", "size", "canonical")).alias("m"), F.min("canonical").alias("lo"), F.max("canonical").alias("hi"))
+    sure = steps.filter((F.col("lo") == F.col("hi")) | ~F.col("step").isin(*_STRICT))
+    return sure.groupBy("field", "value").agg(F.min(F.struct("step", "m"))["m"]["canonical"].alias("canonical"))
 
 
 def map_values(df: DataFrame, ref: DataFrame, key: str = "id", fields: tuple[str, ...] = ("status_raw", "owner_raw", "country"), shard_size: int = SHARD) -> DataFrame:
@@ -236,6 +235,6 @@ def map_values(df: DataFrame, ref: DataFrame, key: str = "id", fields: tuple[str
     cells = df.select(F.col(key).alias("_key"), cell.alias("x")).select("_key", "x.field", "x.value").filter(F.regexp_replace("value", r"(?U)[\s\p{Z}]+", "") != "")
     known = ref.filter("field is not null and canonical is not null").select("field", F.col("canonical").alias("value")).distinct()
     typed = cells.join(known, ["field", "value"], "left_anti")
-    found = match_values(typed.select("field", "value").distinct(), ref, shard_size)
+    found = materialise(match_values(typed.select("field", "value").distinct(), ref, shard_size), "matches")
     mapped = lookup_join(typed, found, ["field", "value"], "left")
     return mapped.select(F.col("_key").alias(key), "field", F.coalesce("canonical", F.lit(UNMATCHED)).alias("canonical"))
