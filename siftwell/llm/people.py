@@ -156,6 +156,8 @@ def given_name_table(leads: DataFrame, name: str = "display_name", share: float
     return sorted({plain(squash(r["w"])) for r in common if r["w"] not in TITLES and r["w"] not in PARTICLES})
 
 
+#: The columns of a lead that tell who it is.
+READ = ("display_name", "email", "phone_raw", "phone_digits", "domain_root", "company_name")
 IDENTITY = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("batch_no", T.IntegerType()),
     T.StructField("given", T.StringType()), T.StructField("family", T.StringType()),
@@ -167,8 +169,7 @@ IDENTITY = T.StructType([
 def identities(leads: DataFrame, given_names: list[str], add: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: T.StructType = IDENTITY) -> DataFrame:
     """One row per lead (id, batch_no, given, family, mailbox, role, line, firms); absent parts are ''. add: what else is done to each batch of them, with the schema it then has."""
     known = frozenset(given_names)
-    text = lambda c: F.col(c).cast("string").alias(c)
-    base = leads.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("batch_no").cast("int"), F.lit(0)).alias("batch_no"), text("display_name"), text("email"), text("phone_raw"), text("phone_digits"), text("domain_root"), text("company_name"))
+    base = leads.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("batch_no").cast("int"), F.lit(0)).alias("batch_no"), *[F.col(c).cast("string").alias(c) for c in READ])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
