@@ -441,17 +441,36 @@ def test_encoding_and_round_trip(spark):
 
 def test_mixing(spark):
     rng = random.Random(5)
-    rows = [(i, "abc"[min(2, i // 900)] if i < 2000 else None, rng.randint(0, 60)) for i in range(2100)]
-    d = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    rows = [(i, "abc"[min(2, i // 900)] if i < 2000 else None, f"text {i}", rng.randint(0, 60)) for i in range(2100)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string, n_tokens bigint")
     weights = spark.createDataFrame([("a", 0.5, 1), ("b", 0.2, 2), ("c", 0.3, 4), ("none", 0.0, 3), (None, 0.5, 1), ("a", 0.9, 9)], "source string, target_share double, max_repeats int")
-    mixed, report = mixing.mix_sources(d.select("doc_id", "source"), d.select("doc_id", "n_tokens"), weights)
+    mixed, report = mixing.mix_sources(d.drop("n_tokens"), d.select("doc_id", "n_tokens"), weights)
     r = {x["source"]: x for x in report.collect()}
     for s, share in (("a", 0.5), ("b", 0.2), ("c", 0.3)):
         assert abs(r[s]["reached_share"] - share) < 0.01 and r[s]["most_copies"] <= r[s]["max_repeats"]
     assert r["none"]["rows_out"] == 0
     m = mixed.collect()
     assert [x["place"] for x in m] == sorted(x["place"] for x in m) and len({(x["doc_id"], x["copy_no"]) for x in m}) == len(m)
-    assert mixing.mix_sources(d.limit(0).select("doc_id", "source"), d.select("doc_id", "n_tokens"), weights)[0].count() == 0
+    assert all(x["text"] == f"text {x['doc_id']}" for x in m) and sum(x["n_tokens"] for x in m) == sum(x["reached_tokens"] for x in r.values())
+    bound = min(r[s]["available_tokens"] * r[s]["max_repeats"] / share for s, share in (("a", 0.5), ("b", 0.2), ("c", 0.3)))
+    assert abs(sum(x["n_tokens"] for x in m) / bound - mixing.FILL) < 0.02
+    assert mixing.mix_sources(d.limit(0).drop("n_tokens"), d.select("doc_id", "n_tokens"), weights)[0].count() == 0
+
+
+def test_copies_are_poisson_draws(spark):
+    """Of the source that bounds the total too: the counts follow the capped Poisson distribution, documents independently."""
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.lit(10).cast("bigint").alias("n_tokens"))
+    weights = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 5)], "source string, target_share double, max_repeats int")
+    plan = {p["source"]: p for p in mixing.plan_mix(d, weights)}
+    counts = {}
+    for x in mixing.mix_sources(d.select("doc_id", "source"), d.select("doc_id", "n_tokens"), weights)[0].groupBy("source", "doc_id").count().collect():
+        counts.setdefault(x["source"], []).append(x["count"])
+    for s, most in (("a", 3), ("b", 5)):
+        steps = [0.0, *mixing.thresholds(plan[s]["rate"], most), 1.0]
+        for k in range(1, most + 1):
+            assert abs(counts[s].count(k) / 10_000 - (steps[k + 1] - steps[k])) < 0.02
+    assert 0 < len(counts["a"]) < 10_000 or counts["a"].count(3) < 10_000
+    assert d.select(F.countDistinct(mixing.uniform(F.col("doc_id"), 17))).first()[0] == 20_000
 
 
 def test_poisson_quantiles():
@@ -460,8 +479,7 @@ def test_poisson_quantiles():
     for rate in (0.2, 1.0, 2.5):
         steps = mixing.thresholds(rate, 4)
         assert steps == pytest.approx([sum(math.exp(-rate) * rate**j / math.factorial(j) for j in range(k + 1)) for k in range(4)])
-        for u in (0.01, 0.3, 0.7, 0.99):
-            assert sum(t <= u for t in steps) == mixing._copies(rate, u, 4)
+        assert mixing.mean_copies(rate, 60) == pytest.approx(rate)
 
 
 # ---------- 10: residue
