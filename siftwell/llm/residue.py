@@ -128,11 +128,12 @@ def learn(rows: DataFrame, rounds: int = 5, smooth: float = 0.35) -> tuple[np.nd
     return log_odds, prior
 
 
-def score_records(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 5, share: float = 0.5) -> DataFrame:
+def score_records(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 5, share: float = 0.5, trusted_share: float = 0.25) -> DataFrame:
     """One row (key, residue, slot_score, body_share) per record with a text that is not blank.
 
     residue: a passage with a slot scores as residue, or at least `share` of the body's characters (page furniture
-    aside) are in passages that do. Null, empty and blank texts give no row. Texts of any length
+    aside) are in passages that do. trusted_share: the part of a record's body that must be in passages of the trusted
+    patterns for the record's other passages to be learned from as residue. Null, empty and blank texts give no row. Texts of any length
     are read whole; repeated rows of one key are judged together; other columns are ignored. A corpus without any
     trusted passage, or an empty one, has no residue.
     """
@@ -140,8 +141,10 @@ def score_records(docs: DataFrame, key: str = "doc_id", text: str = "text", roun
     strong = F.rlike("passage", F.lit(TRUSTED_BODY)) & ~F.col("furniture")
     slot = F.rlike("passage", F.lit(TRUSTED_SLOT))
     every = materialise(found.withColumn("strong", strong).withColumn("slot", slot), "passages")
-    # A trusted record is short, and its passages count as residue as a whole.
-    sure = every.groupBy("_key").agg(F.max("strong").alias("s"), F.sum(F.length("passage")).alias("len")).filter("s and len <= 400").select("_key")
+    # The passages of a trusted record count as residue as a whole.
+    size = F.length("passage")
+    told = F.sum(F.when(F.col("strong"), size).otherwise(0)) / F.sum(F.when(~F.col("furniture"), size).otherwise(0))
+    sure = every.groupBy("_key").agg(told.alias("told")).filter(F.col("told") >= trusted_share).select("_key")
     whole = every.join(sure.withColumn("_sure", F.lit(True)), "_key", "left")
     body = F.coalesce("_sure", F.lit(False)) & ~F.col("furniture") & (F.size(F.split("passage", " ")) > 2)
     distinct = whole.groupBy("passage").agg(F.count(F.lit(1)).alias("n"), F.max(body.cast("int")).alias("_b"), F.sum(body.cast("int")).alias("_nb"), F.max("slot").alias("slot"), F.max("strong").alias("strong"), F.max("furniture").alias("furniture"))
