@@ -244,7 +244,7 @@ class DuplicateIndex:
         """Appends the block tables and names of a batch, links them, and writes the log (LINKED) of the batch, which is returned."""
         blocks = rotated(names).withColumns({"id": F.lit(None).cast("bigint"), "given": F.lit(None).cast("string"), "family": F.lit(None).cast("string"), "batch_no": F.lit(None).cast("int")})
         rows = blocks.unionByName(names.select(F.col("c").alias("key"), F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("bigint").alias("fp"), F.lit(None).cast("boolean").alias("box"), "id", "given", "family", F.lit(batch_no).alias("batch_no")))
-        rows.repartition(self.buckets, "key").write.mode("append").format("parquet").bucketBy(self.buckets, "key").option("path", f"{self.path}/blocks").saveAsTable(self.table)
+        rows.repartition(self.buckets, "key").write.mode("append").format("parquet").bucketBy(self.buckets, "key").option("compression", "zstd").option("path", f"{self.path}/blocks").saveAsTable(self.table)
         links, n = self._links(people, names, seen, batch_no)
         at = f"{self.path}/linked/batch_no={batch_no}"
         persons_of(links, n).withColumn("first_batch", F.coalesce("first_batch", F.lit(batch_no))).write.mode("overwrite").parquet(at)
@@ -302,6 +302,5 @@ def check_batches(leads: DataFrame, first: int = 1, path: str | None = None) ->
     for n in numbers:
         if n >= first:
             index.append(read(n), n)
-    found = index.report()
-    discard(spark, at)
-    return found
+        discard(spark, f"{at}/batch_no={n}")
+    return index.report()
