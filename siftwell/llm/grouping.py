@@ -12,13 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.operators.skew import lookup_join
-from siftwell.session import materialise, release
-
-
-def _fingerprint(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    return row["n"], int(row["h"])
+from siftwell.operators.skew import HOT_LEAST, lookup_join
+from siftwell.session import materialise, observed, release
 
 
 def group_links(links: DataFrame, a: str = "a", b: str = "b", group: str = "group_id", member: str = "id", max_rounds: int = 60) -> DataFrame:
@@ -28,31 +23,29 @@ def group_links(links: DataFrame, a: str = "a", b: str = "b", group: str = "grou
     in either direction and extra columns change nothing; an empty table gives no rows. Raises
     RuntimeError if the sets still change after max_rounds (chains of about 2 ** max_rounds).
 
-    Per round: one partial aggregation by v, one join of the sets to it in which vertices with
-    very large sets meet a broadcast row (see lookup_join), one distinct. Each round is written
-    to the shared folder and the one before is deleted.
+    Per round two jobs: the minimum of each set by a partial aggregation, which counts and hashes the sets on the way
+    and so shows whether the last round changed anything; and one join of the sets to it, in which vertices with
+    very large sets meet a broadcast row (see lookup_join), with one distinct. Each round is written to the shared folder
+    and the one before is deleted.
     """
     ends = links.select(F.col(a).alias("v"), F.col(b).alias("u")).filter("v is not null and u is not null and v <> u")
-    both = ends.unionByName(ends.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    sets = materialise(both.distinct(), "sets")
-    state = _fingerprint(sets)
+    sets = materialise(ends.unionByName(ends.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "sets")
+    state = None
     for _ in range(max_rounds):
-        least = sets.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
-        sent = lookup_join(sets, least, ["v"], "inner")
+        own = sets.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("_h"))
+        least, now = observed(own, "least", n=F.sum("_n"), h=F.sum("_h"), most=F.max("_n"))
+        if (now["n"], now["h"]) == state or not now["n"]:
+            # Stable: each vertex but the smallest holds exactly the smallest one, and the smallest holds all others.
+            return least.select(F.col("m").alias(group), F.col("v").alias(member))
+        state = now["n"], now["h"]
+        to = least.select("v", "m")
+        sent = sets.join(to, "v") if now["most"] <= HOT_LEAST else lookup_join(sets, to, ["v"], "inner", counts=least.select("v", "_n"))
         message = F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("m").alias("v"), F.col("v").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")))
-        arrived = sent.select(F.explode(message).alias("x")).select("x.v", "x.u").filter("v <> u").distinct()
-        after = materialise(arrived, "sets")
-        now = _fingerprint(after)
+        after = materialise(sent.select(F.explode(message).alias("x")).select("x.v", "x.u").filter("v <> u").distinct(), "sets")
         release(sets)
+        release(least)
         sets = after
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"the groups still change after {max_rounds} rounds")
-    # Stable: each vertex but the smallest holds exactly the smallest one, and the smallest holds all others.
-    to_least = sets.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
-    return to_least.select(F.col("m").alias(group), F.col("v").alias(member))
+    raise RuntimeError(f"the groups still change after {max_rounds} rounds")
 
 
 def same_verdicts(pairs: DataFrame, verdict: Column | None = None) -> DataFrame:
