@@ -54,7 +54,7 @@ def pretokens(text: Column) -> Column:
 
 
 def _pretokens_elsewhere(rows: DataFrame) -> DataFrame:
-    """The pre-tokens of texts with code points that this JVM's Unicode tables don't know yet, cut by the tokenizer library itself."""
+    """(.., words): the pre-tokens of texts with code points that this JVM's Unicode tables don't know yet, cut by the tokenizer library itself."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import pre_tokenizers
@@ -63,8 +63,7 @@ def _pretokens_elsewhere(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.drop(columns="_text").assign(words=[[t[i:j] for _, (i, j) in split(t)] for t in batch["_text"]])
 
-    kept = rows.drop("_text").schema.add("words", T.ArrayType(T.StringType()))
-    return rows.mapInPandas(cut, kept).select(*rows.drop("_text").columns, F.posexplode("words").alias("_pos", "word"))
+    return rows.mapInPandas(cut, rows.drop("_text").schema.add("words", T.ArrayType(T.StringType())))
 
 
 def encode_words(words: DataFrame, path: str, word: str = "word") -> DataFrame:
@@ -87,19 +86,21 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     kept apart. Other columns are ignored; an empty table gives an empty result.
     """
     path = os.path.join(folder or tokenizer_folder(), vocabulary)
-    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    numbered = base.groupBy("_key", "_text").agg(F.count(F.lit(1)).alias("_copies"))
-    filled = numbered.withColumn("_h", F.xxhash64("_text"))
-    unknown = F.coalesce(F.rlike("_text", F.lit(r"\p{Cn}")), F.lit(False))
-    tokens = filled.filter(~unknown).select("_key", "_h", "_copies", F.posexplode(pretokens(F.col("_text"))).alias("_pos", "word"))
-    tokens = tokens.unionByName(_pretokens_elsewhere(filled.filter(unknown)))
+    base = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+    filled = base.filter("_text <> ''")
+    unknown = F.rlike("_text", F.lit(r"\p{Cn}"))
+    cut = filled.filter(~unknown).select("_key", "_h", pretokens(F.col("_text")).alias("words")).unionByName(_pretokens_elsewhere(filled.filter(unknown)))
+    cut = materialise(cut, "pretokens")  # texts are cut once; the count, the hot words and the others read the pieces
+    tokens = cut.select("_key", "_h", F.posexplode("words").alias("_pos", "word"))
     words = materialise(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "words")  # both the distinct words and what is hot among them
     ids = encode_words(words, path)
     joined = lookup_join(tokens, ids, ["word"], "inner", counts=words)
-    parts = joined.groupBy("_key", "_h", "_copies").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    empty = filled.filter("_text is null or _text = ''").select("_key", "_h", "_copies", F.array().cast("array<int>").alias("ids"))
-    every = parts.unionByName(empty)
-    return every.select(F.col("_key").alias(key), "ids", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")).alias("_c")).drop("_c")
+    parts = joined.groupBy("_key", "_h").agg(F.array_sort(F.collect_list(F.struct("_pos", "ids"))).alias("p"), (F.max("_pos") + 1).alias("_size"))
+    # A row that is there several times has each position as often.
+    once = parts.withColumn("_copies", F.size("p") / F.col("_size")).withColumn("p", F.when(F.col("_copies") == 1, F.col("p")).otherwise(F.array_distinct("p")))
+    every = once.select("_key", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies").cast("bigint"))).alias("_c")).drop("_c")
+    empty = base.filter("_text is null or _text = ''").select("_key", F.array().cast("array<int>").alias("ids"))
+    return every.unionByName(empty).select(F.col("_key").alias(key), "ids")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> DataFrame:
