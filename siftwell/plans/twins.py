@@ -163,14 +163,15 @@ def local_fit(p: str, r: str) -> str:
     return f"CASE WHEN ({f} <> '' AND {loc} = {f}) OR ({la} <> '' AND {loc} = {la}) OR ({f} <> '' AND {la} <> '' AND {loc} IN ({f} || {la}, {la} || {f}, {i} || {la}, {f} || {j}, {la} || {i}, {i} || {j})) THEN 0.5 ELSE 0.0 END"
 
 
-def features(pairs: str, company_sim: str | None = None) -> str:
+def features(pairs: str, corpus: str | None = None) -> str:
     eq = lambda col: f"(coalesce(x.{col}, '') <> '' AND coalesce(x.{col}, '') = coalesce(y.{col}, ''))"
     loose = lambda col, s: f"lower(trim(coalesce({s}.{col}, '')))"
     num = lambda t: f"CASE WHEN {t} THEN 1.0 ELSE 0.0 END"
     weak = "[" + ", ".join(map(q, SUFFIX_WORDS)) + "]"
     ta, tb = tokens("x.company_name", "a-z0-9"), tokens("y.company_name", "a-z0-9")
-    total = lambda s: f"coalesce(list_sum(list_transform({s}, lambda t: CASE WHEN list_contains({weak}, t) THEN 0.15 ELSE 1.0 END)), 0)"
-    sim = company_sim or f"CASE WHEN len({ta}) > 0 AND len({tb}) > 0 THEN {total(f'list_intersect({ta}, {tb})')} / {total(f'list_distinct(list_concat({ta}, {tb}))')} ELSE 0.0 END"
+    one = "coalesce(wm[t], 1.0)" if corpus else f"CASE WHEN list_contains({weak}, t) THEN 0.15 ELSE 1.0 END"
+    total = lambda s: f"coalesce(list_sum(list_transform({s}, lambda t: {one})), 0)"
+    sim = f"CASE WHEN len({ta}) > 0 AND len({tb}) > 0 THEN {total(f'list_intersect({ta}, {tb})')} / {total(f'list_distinct(list_concat({ta}, {tb}))')} ELSE 0.0 END"
     fit = "list_zip(x.name_tokens, y.name_tokens)"
     bad = "NOT (z[1] = z[2] OR (length(z[1]) = 1 AND starts_with(z[2], z[1])) OR (length(z[2]) = 1 AND starts_with(z[1], z[2])))"
     compat = f"coalesce(len(x.name_tokens) > 0 AND len(x.name_tokens) = len(y.name_tokens) AND len(list_filter({fit}, lambda z: {bad})) = 0, false)"
@@ -183,7 +184,7 @@ def features(pairs: str, company_sim: str | None = None) -> str:
       {num(f"{loose('country', 'x')} <> '' AND {loose('country', 'x')} = {loose('country', 'y')}")} AS country_match,
       {num(f"{loose('country', 'x')} <> '' AND {loose('country', 'y')} <> '' AND {loose('country', 'x')} <> {loose('country', 'y')}")} AS country_conflict,
       {num(f"{loose('job_title', 'x')} <> '' AND {loose('job_title', 'x')} = {loose('job_title', 'y')}")} AS title_match
-      FROM ({pairs}) JOIN leads x ON x.id = a JOIN leads y ON y.id = b"""
+      FROM ({pairs}) JOIN leads x ON x.id = a JOIN leads y ON y.id = b{f' CROSS JOIN ({corpus})' if corpus else ''}"""
     full = f"SELECT *, CASE WHEN name_sim >= 0.97 AND (domain_root > 0 OR company_sim >= 0.9) THEN 1.0 ELSE 0.0 END AS same_name_same_company FROM ({base})"
     z = "-6.0 + 5.0 * phone_exact + 3.5 * phone_suffix - 1.8 * phone_conflict + 5.0 * email_exact + 1.2 * domain_exact + 1.2 * domain_root + 7.0 * (name_sim - 0.72) + 1.5 * name_initial_compat + 2.2 * local_consistent + 1.5 * (company_sim - 0.35) + 0.8 * country_match - 0.8 * country_conflict + 0.4 * title_match + 1.2 * same_name_same_company"
     return f"SELECT *, 1 / (1 + exp(-greatest(-30, least(30, {z})))) AS score FROM ({full})"
@@ -240,6 +241,13 @@ def oracle_sql() -> dict[str, str]:
     verdict = f"CASE WHEN {band} THEN CASE WHEN phone_exact > 0 OR email_exact > 0 THEN 'same' WHEN name_sim < 0.8 THEN 'different' ELSE 'unsure' END END"
     given = lambda p, n: f"CASE WHEN len({p}) <= 1 OR len({n}) <= 1 THEN len({p}) <= 1 AND len({n}) <= 1 ELSE {p}[1] = {n}[1] OR (length({p}[1]) = 1 AND starts_with({n}[1], {p}[1])) OR (length({n}[1]) = 1 AND starts_with({p}[1], {n}[1])) END"
     block_pairs = f"WITH k AS ({BLOCKS % 'leads'}), s AS (SELECT kind, value FROM k GROUP BY ALL HAVING count(*) BETWEEN 2 AND 80), o AS (SELECT k.* FROM k JOIN s USING (kind, value)) SELECT x.id AS a, y.id AS b, array_to_string(list_sort(list(DISTINCT x.kind)), ',') AS blocked_by FROM o x JOIN o y USING (kind, value) WHERE x.id < y.id GROUP BY x.id, y.id"
+    corpus = f"WITH {weights} SELECT map(list(token), list({weight})) AS wm FROM idf"
+    neighbours = f"WITH {gram_vectors(INDEX_TEXT)}, s AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS score FROM v x JOIN v y USING (gram) WHERE x.usable AND y.usable AND x.id <> y.id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS place FROM s) SELECT a, b, round(score, 6) AS score FROM r WHERE place <= 8 AND score >= 0.35"
+    judged = f"CASE {verdict} WHEN 'same' THEN greatest(score, 0.9 + 0.1 * 0.95) WHEN 'different' THEN least(score, 0.4 * 0.2) ELSE score END"
+    resolved = f"""WITH RECURSIVE cand AS MATERIALIZED (SELECT a, b FROM ({block_pairs}) UNION SELECT least(a, b), greatest(a, b) FROM ({neighbours})),
+      s AS MATERIALIZED (SELECT a, b, score AS score_before, {judged} AS score FROM ({features('SELECT a, b FROM cand', corpus)}) WHERE score >= 0.4),
+      e AS (SELECT a v, b u FROM s WHERE score >= 0.7 UNION SELECT b, a FROM s WHERE score >= 0.7), r AS (SELECT v, v u FROM e UNION SELECT r.v, e.u FROM r JOIN e ON r.u = e.v), c AS (SELECT v AS id, min(u) AS root FROM r GROUP BY v),
+      m AS (SELECT root, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS lead_ids, count(*) AS size FROM c GROUP BY root), p AS (SELECT root, round(min(score), 4) AS confidence FROM s JOIN c ON c.id = a WHERE score >= 0.7 GROUP BY root)"""
     same_links = "SELECT a, b FROM match_pairs WHERE a <> b AND verdict = 'same'"
     hash_of = "SELECT root, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS m FROM {} GROUP BY root"
     return {
@@ -267,7 +275,13 @@ def oracle_sql() -> dict[str, str]:
         "block_stats": f"SELECT kind, count(*) AS blocks, count(*) FILTER (n BETWEEN 2 AND 80) AS usable, count(*) FILTER (n > 80) AS oversized FROM (SELECT kind, value, count(*) AS n FROM ({BLOCKS % 'leads'}) GROUP BY ALL) GROUP BY kind",
         "company_weights": f"WITH {weights} SELECT token, round({weight}, 6) AS weight FROM idf",
         "char_grams": f"WITH {gram_vectors('display_name')} SELECT gram, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM g GROUP BY gram",
-        "ngram_neighbours": f"WITH {gram_vectors(INDEX_TEXT)}, s AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS score FROM v x JOIN v y USING (gram) WHERE x.usable AND y.usable AND x.id <> y.id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS place FROM s) SELECT a, b, round(score, 6) AS score FROM r WHERE place <= 8 AND score >= 0.35",
+        "ngram_neighbours": neighbours,
+        "pair_scores_corpus": f"SELECT a, b, CAST(round(company_sim, 6) AS DOUBLE) AS company_sim, round(score, 6) AS score FROM ({features(PAIRS, corpus)})",
+        "resolve_groups": f"{resolved} SELECT 'dup-' || root AS group_id, lead_ids, size, confidence FROM m JOIN p USING (root)",
+        "resolve_stats": f"""{resolved}, n AS (SELECT count(*) AS records, count(*) * (count(*) - 1) / 2 AS whole FROM leads), k AS (SELECT count(*) AS candidate_pairs FROM cand),
+          o AS (SELECT count(*) AS oversized_blocks_skipped FROM (SELECT kind, value FROM ({BLOCKS % 'leads'}) GROUP BY ALL HAVING count(*) > 80))
+          SELECT records, candidate_pairs, oversized_blocks_skipped, (SELECT count(*) FROM s) AS pairs_above_review_floor, (SELECT count(*) FROM s WHERE score_before >= 0.4 AND score_before < 0.9) AS adjudicated_pairs, (SELECT count(*) FROM m) AS groups, CAST((SELECT coalesce(sum(size), 0) FROM m) AS BIGINT) AS records_in_groups,
+          CAST(whole AS BIGINT) AS full_pairwise_comparisons, CAST(CASE WHEN whole > 0 THEN round(1 - candidate_pairs / whole, 4) ELSE 0.0 END AS DOUBLE) AS reduction_ratio, CAST(0.7 AS DOUBLE) AS min_confidence FROM n CROSS JOIN k CROSS JOIN o""",
         "name_similarity": f"SELECT a, b, round(CASE WHEN p = r THEN 1.0 WHEN p = '' OR r = '' THEN 0.0 ELSE jaro_similarity(p, r) END, 6) AS jaro, round({winkler('p', 'r')}, 6) AS jaro_winkler FROM (SELECT a, b, coalesce(x.name_key, '') AS p, coalesce(y.name_key, '') AS r FROM ({PAIRS}) JOIN leads x ON x.id = a JOIN leads y ON y.id = b)",
         "pair_scores": f"SELECT a, b, {', '.join(f'CAST(round({f}, 6) AS DOUBLE) AS {f}' for f in FEATURES)}, round(score, 6) AS score, array_to_string({REASONS}, '; ') AS reasons FROM ({scored})",
         "band_adjudicated": f"SELECT a, b, round(score, 6) AS score_before, round(CASE {verdict} WHEN 'same' THEN greatest(score, 0.9 + 0.1 * 0.95) WHEN 'different' THEN least(score, 0.4 * 0.2) ELSE score END, 6) AS score, {verdict} AS verdict FROM ({scored})",
