@@ -175,7 +175,7 @@ def dup_components(spark, d):
 def dup_groups(spark, d):
     m = table(spark, d, "match_pairs").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocked_by")))).alias("blocked_by"))
     g = resolve.groups(m.withColumn("reasons", F.array().cast("array<string>")), CONFIG.report_min)
-    return g.select("group_id", F.array_join(F.transform("lead_ids", lambda x: x.cast("string")), ",").alias("lead_ids"), "size", "confidence", "max_pair_confidence", F.size("pairs").alias("n_pairs"))
+    return resolve.ordered(g).select("group_id", F.array_join(F.transform("lead_ids", lambda x: x.cast("string")), ",").alias("lead_ids"), "size", "confidence", "max_pair_confidence", F.size("pairs").alias("n_pairs"))
 
 
 def resolve_groups(spark, d):

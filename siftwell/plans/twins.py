@@ -163,7 +163,7 @@ def local_fit(p: str, r: str) -> str:
     return f"CASE WHEN ({f} <> '' AND {loc} = {f}) OR ({la} <> '' AND {loc} = {la}) OR ({f} <> '' AND {la} <> '' AND {loc} IN ({f} || {la}, {la} || {f}, {i} || {la}, {f} || {j}, {la} || {i}, {i} || {j})) THEN 0.5 ELSE 0.0 END"
 
 
-def features(pairs: str, corpus: str | None = None) -> str:
+def features(pairs: str, corpus: str | None = None, left: str = "leads", right: str = "leads") -> str:
     eq = lambda col: f"(coalesce(x.{col}, '') <> '' AND coalesce(x.{col}, '') = coalesce(y.{col}, ''))"
     loose = lambda col, s: f"lower(trim(coalesce({s}.{col}, '')))"
     num = lambda t: f"CASE WHEN {t} THEN 1.0 ELSE 0.0 END"
@@ -184,7 +184,7 @@ def features(pairs: str, corpus: str | None = None) -> str:
       {num(f"{loose('country', 'x')} <> '' AND {loose('country', 'x')} = {loose('country', 'y')}")} AS country_match,
       {num(f"{loose('country', 'x')} <> '' AND {loose('country', 'y')} <> '' AND {loose('country', 'x')} <> {loose('country', 'y')}")} AS country_conflict,
       {num(f"{loose('job_title', 'x')} <> '' AND {loose('job_title', 'x')} = {loose('job_title', 'y')}")} AS title_match
-      FROM ({pairs}) JOIN leads x ON x.id = a JOIN leads y ON y.id = b{f' CROSS JOIN ({corpus})' if corpus else ''}"""
+      FROM ({pairs}) JOIN {left} x ON x.id = a JOIN {right} y ON y.id = b{f' CROSS JOIN ({corpus})' if corpus else ''}"""
     full = f"SELECT *, CASE WHEN name_sim >= 0.97 AND (domain_root > 0 OR company_sim >= 0.9) THEN 1.0 ELSE 0.0 END AS same_name_same_company FROM ({base})"
     z = "-6.0 + 5.0 * phone_exact + 3.5 * phone_suffix - 1.8 * phone_conflict + 5.0 * email_exact + 1.2 * domain_exact + 1.2 * domain_root + 7.0 * (name_sim - 0.72) + 1.5 * name_initial_compat + 2.2 * local_consistent + 1.5 * (company_sim - 0.35) + 0.8 * country_match - 0.8 * country_conflict + 0.4 * title_match + 1.2 * same_name_same_company"
     return f"SELECT *, 1 / (1 + exp(-greatest(-30, least(30, {z})))) AS score FROM ({full})"
@@ -223,6 +223,16 @@ def gram_vectors(text: str) -> str:
 INDEX_TEXT = "concat_ws(' ', nullif(trim(coalesce(display_name, '')), ''), coalesce(nullif(trim(coalesce(company_core, '')), ''), nullif(trim(coalesce(company_name, '')), '')), nullif(trim(coalesce(email_local, '')), ''), nullif(trim(coalesce(domain_root, '')), ''))"
 
 
+def sure(left: str, right: str) -> str:
+    """(a, b) of records that share a key other than the domain, or within a domain a word, both initials, a mailbox that the other's name spells, or a phone."""
+    lines = lambda s: f"list_filter([{s}.phone_digits, {s}.phone_key], lambda t: coalesce(t, '') <> '')"
+    initials = lambda s: f"left({s}.name_tokens[1], 1) || left({s}.name_tokens[-1], 1)"
+    near = f"""coalesce(len(list_intersect(x.name_tokens, y.name_tokens)) > 0, false) OR coalesce(len(x.name_tokens) > 0 AND len(y.name_tokens) > 0 AND {initials('x')} = {initials('y')}, false)
+      OR {local_fit('x', 'y')} > 0 OR {local_fit('y', 'x')} > 0 OR len(list_intersect({lines('x')}, {lines('y')})) > 0"""
+    return f"""SELECT x.id AS a, y.id AS b FROM ({BLOCKS % left}) x JOIN ({BLOCKS % right}) y USING (kind, value) WHERE kind <> 'domain'
+      UNION SELECT x.id, y.id FROM {left} x JOIN {right} y ON x.domain_root = y.domain_root WHERE x.domain_root <> '' AND ({near})"""
+
+
 def oracle_sql() -> dict[str, str]:
     classified = sources("leads", "id", "notes")
     with_source = f"SELECT l.*, s.channel AS source_channel, s.method AS source_method, s.taxonomy_gap AS source_taxonomy_gap FROM leads l JOIN ({classified}) s USING (id)"
@@ -248,6 +258,21 @@ def oracle_sql() -> dict[str, str]:
       s AS MATERIALIZED (SELECT a, b, score AS score_before, {judged} AS score FROM ({features('SELECT a, b FROM cand', corpus)}) WHERE score >= 0.4),
       e AS (SELECT a v, b u FROM s WHERE score >= 0.7 UNION SELECT b, a FROM s WHERE score >= 0.7), r AS (SELECT v, v u FROM e UNION SELECT r.v, e.u FROM r JOIN e ON r.u = e.v), c AS (SELECT v AS id, min(u) AS root FROM r GROUP BY v),
       m AS (SELECT root, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS lead_ids, count(*) AS size FROM c GROUP BY root), p AS (SELECT root, round(min(score), 4) AS confidence FROM s JOIN c ON c.id = a WHERE score >= 0.7 GROUP BY root)"""
+    submitted = f"""SELECT submission_id AS id, {name_parts('NULL', 'NULL', 'name', 'display_name first_name last_name name_key')}, {tokens(squeezed(trimmed('name')))} AS name_tokens, {address} AS email, string_split({address}, '@')[1] AS email_local,
+      nullif({email_domain(address)}, '') AS email_domain, nullif(string_split({email_domain(address)}, '.')[1], '') AS domain_root, nullif({trimmed('phone')}, '') AS phone_raw, nullif({digits('phone')}, '') AS phone_digits, nullif(right({digits('phone')}, 9), '') AS phone_key,
+      {country('country')} AS country, nullif({trimmed('company')}, '') AS company_name, NULL AS job_title FROM {ONCE}"""
+    decided = f"""WITH RECURSIVE sub AS MATERIALIZED ({submitted}), ok AS MATERIALIZED (SELECT * FROM sub WHERE email IS NOT NULL OR phone_raw IS NOT NULL),
+      h AS (SELECT DISTINCT x.id AS a, y.id AS b FROM ({BLOCKS % 'ok'}) x JOIN ({BLOCKS % 'leads'}) y USING (kind, value)),
+      hits AS MATERIALIZED (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS r FROM h) WHERE r <= 200 UNION {sure('ok', 'leads')}),
+      s AS MATERIALIZED (SELECT * FROM (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS place FROM ({features('SELECT a, b FROM hits', corpus, 'ok')})) WHERE place <= 3),
+      best AS (SELECT a, max(CASE WHEN place = 1 THEN b END) AS lead_id, max(CASE WHEN place = 1 THEN score END) AS score, count(*) FILTER (score >= 0.4) AS near FROM s GROUP BY a),
+      dec AS MATERIALIZED (SELECT sub.id AS submission_id, CASE WHEN ok.id IS NULL THEN 'rejected' WHEN coalesce(score, 0) >= 0.9 THEN 'updated' ELSE 'created' END AS action, lead_id, coalesce(score, 0) AS score, coalesce(near, 0) AS near FROM sub LEFT JOIN ok USING (id) LEFT JOIN best ON a = sub.id)"""
+    review = "action = 'created' AND score >= 0.4"
+    fresh = f"""fresh AS MATERIALIZED (SELECT ok.* FROM ok JOIN dec ON dec.submission_id = ok.id WHERE action = 'created'),
+      close AS MATERIALIZED (SELECT a, b FROM ({features(f"SELECT a, b FROM ({sure('fresh', 'fresh')}) WHERE a < b", None, 'fresh', 'fresh')}) WHERE score >= 0.9),
+      e AS (SELECT a v, b u FROM close UNION SELECT b, a FROM close), r AS (SELECT v, v u FROM e UNION SELECT r.v, e.u FROM r JOIN e ON r.u = e.v),
+      made AS (SELECT (SELECT count(*) FROM fresh) - (SELECT count(DISTINCT v) - count(DISTINCT root) FROM (SELECT v, min(u) AS root FROM r GROUP BY v)) AS n),
+      every AS (SELECT origin, count(*) AS n FROM leads GROUP BY origin UNION ALL SELECT 'form', n FROM made WHERE n > 0)"""
     same_links = "SELECT a, b FROM match_pairs WHERE a <> b AND verdict = 'same'"
     hash_of = "SELECT root, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS m FROM {} GROUP BY root"
     return {
@@ -288,6 +313,9 @@ def oracle_sql() -> dict[str, str]:
         "dup_components": f"{components('SELECT a, b FROM match_pairs WHERE score >= 0.7 AND a <> b')} SELECT id, root FROM c",
         "dup_groups": f"{components(f'SELECT a, b FROM ({best}) WHERE score >= 0.7')}, m AS (SELECT root, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS lead_ids, count(*) AS size FROM c GROUP BY root), p AS (SELECT root, round(min(score), 4) AS confidence, round(max(score), 4) AS max_pair_confidence, CAST(count(*) AS INTEGER) AS n_pairs FROM ({best}) JOIN c ON c.id = a WHERE score >= 0.7 GROUP BY root) SELECT 'dup-' || root AS group_id, lead_ids, size, confidence, max_pair_confidence, n_pairs FROM m JOIN p USING (root)",
         "submission_probe": f"WITH f AS (SELECT submission_id AS id, * EXCLUDE (submission_id) FROM ({forms})), h AS (SELECT x.id AS submission_id, y.id, array_to_string(list_sort(list(DISTINCT x.kind)), ',') AS kinds FROM ({BLOCKS % 'f'}) x JOIN ({BLOCKS % 'leads'}) y USING (kind, value) GROUP BY x.id, y.id) SELECT submission_id, id, kinds FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY id) AS r FROM h) WHERE r <= 200",
+        "ingest_actions": f"{decided} SELECT submission_id, action, CASE WHEN action = 'updated' THEN lead_id END AS lead_id, CASE WHEN action <> 'rejected' THEN CAST(round(score, 4) AS DOUBLE) END AS confidence, {review} AS needs_review, CAST(CASE WHEN {review} THEN near ELSE 0 END AS INTEGER) AS n_possible FROM dec",
+        "ingest_summary": f"{decided} SELECT count(*) AS processed, count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'rejected') AS rejected, count(*) FILTER ({review}) AS needs_review FROM dec",
+        "ingest_snapshot": f"{decided}, {fresh} SELECT origin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS n_ids FROM every GROUP BY origin",
         "patch_apply": "SELECT id, CASE WHEN country IS NULL THEN 'Closed Won' ELSE status END AS status, CASE WHEN country IS NULL THEN 'closed-won' ELSE status_raw END AS status_raw, CASE WHEN country IS NULL THEN 'Karin Dolstad' ELSE owner END AS owner, CASE WHEN country IS NULL THEN '2026-01-31' ELSE updated_at END AS updated_at FROM leads",
         "enrich_merge": "SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN coalesce({x}, '') = '' THEN '{x}' END" for x in "job_title company_name company_core email email_local email_domain domain_root phone_raw phone_digits phone_key country full_name".split()) + ", CASE WHEN NOT contains(coalesce(notes, ''), 'note ' || id) THEN 'notes' END], lambda x: x IS NOT NULL), ',') AS filled, CASE WHEN coalesce(job_title, '') = '' THEN 'Buyer' ELSE job_title END AS job_title, CASE WHEN coalesce(company_name, '') = '' THEN 'Acme' ELSE company_name END AS company_name, CASE WHEN coalesce(email, '') = '' THEN 'x@acme.test' ELSE email END AS email, CASE WHEN coalesce(country, '') = '' THEN 'Chile' ELSE country END AS country, CASE WHEN NOT contains(coalesce(notes, ''), 'note ' || id) THEN trim(trim(coalesce(notes, '')) || chr(10) || 'note ' || id) ELSE notes END AS notes FROM leads",
         "id_allocation": "SELECT submission_id, (SELECT coalesce(max(id), 100000000) FROM leads) + row_number() OVER (ORDER BY submission_id) AS id FROM (SELECT DISTINCT submission_id FROM form_submissions)",

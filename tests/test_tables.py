@@ -135,7 +135,7 @@ def test_stream(spark, sf, tmp_path):
     assert sum(seen) == forms.limit(6).select("submission_id").distinct().count()
 
 
-SMALL = ["lead_dashboard", "norm_status", "norm_country", "norm_dates", "norm_names", "company_core", "classify_notes", "classify_forms", "block_pairs", "company_weights", "ngram_neighbours", "pair_scores", "pair_scores_corpus", "dup_groups", "resolve_groups", "resolve_stats", "submission_probe", "prf_sweep", "csv_normalise"]
+SMALL = ["lead_dashboard", "norm_status", "norm_country", "norm_dates", "norm_names", "company_core", "classify_notes", "classify_forms", "block_pairs", "company_weights", "ngram_neighbours", "pair_scores", "pair_scores_corpus", "dup_groups", "resolve_groups", "resolve_stats", "submission_probe", "ingest_actions", "ingest_summary", "ingest_snapshot", "prf_sweep", "csv_normalise"]
 
 
 @pytest.mark.parametrize("name", SMALL)
