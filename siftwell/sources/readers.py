@@ -32,6 +32,12 @@ def load_export(spark: SparkSession, path: str, existing: DataFrame | None = Non
     return rows.unionByName(existing.join(rows.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
+def load_counts(raw: DataFrame) -> DataFrame:
+    """One row (rows, loaded, skipped, replaced) of raw export rows: those without a whole-number id are skipped, earlier rows of an id are replaced by its last one."""
+    n = normalised(raw).select("id").agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("id").alias("loaded"))
+    return raw.agg(F.count(F.lit(1)).alias("rows")).crossJoin(n).select("rows", "loaded", (F.col("rows") - F.col("kept")).alias("skipped"), (F.col("kept") - F.col("loaded")).alias("replaced"))
+
+
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     """An array of JSON objects, over any lines, or one object a line; absent keys are null.
 
