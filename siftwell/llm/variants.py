@@ -37,6 +37,8 @@ from siftwell.session import materialise, observed, release
 CELLS = 1 << 16
 #: Rows of one piece of evidence, or pairs of one part, that a task works on at once; larger ones are spread over tasks.
 MOST_ROWS, MOST_PAIRS = 1_000, 20_000
+#: Pairs that one task clusters as a whole.
+MOST_EDGES = 100_000
 
 
 @lru_cache(maxsize=200_000)
@@ -55,19 +57,19 @@ def trigrams(text: str) -> set[int]:
     return {c for word in text.split(" ") for c in _word_cells(word)}
 
 
-def gram_weights(texts: DataFrame, text: str) -> np.ndarray:
-    """The weight of each cell: 1 + ln((n + 1) / (df + 1)), over all rows of texts; the counts are at most CELLS + 1 rows."""
+def gram_weights(texts: DataFrame, *columns: str, text: Callable[..., str] = str) -> np.ndarray:
+    """The weight of each cell: 1 + ln((n + 1) / (df + 1)), over text(*columns) of all rows; the counts are at most CELLS + 1 rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, rows = np.zeros(CELLS, np.int64), 0
         for b in batches:
-            cells = [c for t in b["t"] for c in trigrams(t)]
+            cells = [c for t in map(text, *(b[c] for c in columns)) for c in trigrams(t)]
             seen += np.bincount(np.array(cells, dtype=np.int64), minlength=CELLS)
             rows += len(b)
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"g": [-1, *at], "n": [rows, *seen[at]]})
 
-    found = texts.select(F.col(text).alias("t")).mapInPandas(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select(*columns).mapInPandas(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(CELLS)
     df[found["g"][found["g"] >= 0]] = found["n"][found["g"] >= 0]
     return 1 + np.log((found["n"][found["g"] < 0].sum() + 1.0) / (df + 1.0))
@@ -229,13 +231,21 @@ def average_linkage(edges: DataFrame, threshold: float, max_rounds: int = 200) -
     return nodes.join(roots, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
-def cluster_edges(edges: DataFrame, threshold: float, most: int = MOST_PAIRS) -> DataFrame:
+def cluster_edges(edges: DataFrame, threshold: float, most: int = MOST_PAIRS, here: int = MOST_EDGES) -> DataFrame:
     """(node, cluster) of every node of edges (a, b, sim), each pair once, by average linkage with absent pairs as 0.
 
-    Clusters lie within connected parts. A part whose pairs are all there, and all reach the threshold, is one cluster;
-    others of up to `most` pairs are clustered by the task that holds them, larger ones in rounds.
+    Up to `here` edges are clustered by one task. Of more, clusters lie within connected parts: a part whose pairs are all
+    there, and all reach the threshold, is one cluster; others of up to `most` pairs are clustered by the task that
+    holds them, larger ones in rounds. All ways give the same.
     """
-    edges = materialise(edges, "edges")
+    edges, seen = observed(edges, "edges", n=F.count(F.lit(1)))
+    if seen["n"] <= here:
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            got = linkage({(a, b): s for x in batches for a, b, s in zip(x["a"], x["b"], x["sim"], strict=True)}, threshold)
+            yield pd.DataFrame({"node": list(got), "cluster": list(got.values())}, dtype="int64")
+
+        return materialise(edges.coalesce(1).mapInPandas(whole, "node bigint, cluster bigint"), "clusters")
     parts = materialise(connected_components(edges).select(F.col("id").alias("node"), F.col("root").alias("part")), "parts")
     inside = edges.join(parts.withColumnRenamed("node", "a"), "a")
     n = parts.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
@@ -401,15 +411,12 @@ def link_persons(leads: DataFrame, threshold: float = PERSON_COSINE, cut: float
     people = materialise(identities(leads, given_names).filter("family <> ''"), "people")
     known = frozenset(given_names)
 
-    def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"t": [vector_text(g, f) for g, f in zip(b["given"], b["family"], strict=True)]})
-
-    weights = gram_weights(people.select("given", "family").mapInPandas(text, "t string"), "t")
+    weights = gram_weights(people, "given", "family", text=vector_text)
     rows = evidence(people).select("ev", "given", "family", "id")
     # Of each ev a task keeps at most `most` + 1 rows before the shuffle: one row more shows that it is large.
     place = F.row_number().over(Window.partitionBy("ev").orderBy("given", "family", "id"))
-    first = rows.withColumn("_place", place).filter(F.col("_place") <= most + 1).drop("_place")
+    first = rows.withColumn("_place", place).filter(F.col("_place") <= most + 1)
+    first = first.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("ev"))).filter("_n > 1").drop("_place", "_n")
     found, seen = observed(links_in_place(first, weights, known, threshold, cut, most), "links", large=F.count_if("large"))
     links = found.filter("not large").select("a", "b")
     if seen["large"]:

@@ -289,7 +289,7 @@ def test_average_linkage_is_the_plain_one(spark, seed):
     want = plain_linkage(edges, 0.4)
     assert len(set(want.values())) < len(want) and variants.linkage(edges, 0.4) == want
     df = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a bigint, b bigint, sim double")
-    for got in (variants.average_linkage(df, 0.4), variants.cluster_edges(df, 0.4), variants.cluster_edges(df, 0.4, most=30)):
+    for got in (variants.average_linkage(df, 0.4), variants.cluster_edges(df, 0.4), variants.cluster_edges(df, 0.4, here=0), variants.cluster_edges(df, 0.4, most=30, here=0)):
         assert {r["node"]: r["cluster"] for r in got.collect()} == want
 
 
