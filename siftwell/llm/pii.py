@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.pii_table import KINDS, labelled_notes
@@ -305,8 +305,18 @@ def find_in(texts: list[str], W: np.ndarray, T: np.ndarray) -> list[list[tuple[i
     return [snap(t, s) if s else [] for t, s in zip(texts, viterbi(texts, W, T), strict=True)]
 
 
+#: A text is known by two hashes of 64 bits wherever rows meet what was found in it, so that whole texts are no join keys.
+MARK = ["_h1", "_h2"]
+
+
+def _marked(df: DataFrame, text: str, *columns: Column) -> DataFrame:
+    """(_h1, _h2, text, *columns) of the rows of df; the marks of a null text are null."""
+    own = F.col(text).cast("string")
+    return df.select(*columns, F.when(own.isNotNull(), F.xxhash64(own)).alias("_h1"), F.when(own.isNotNull(), F.xxhash64(F.lit(1), own)).alias("_h2"), own.alias("text"))
+
+
 def _distinct(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.col(text).cast("string").alias("text")).filter("text is not null and trim(text) <> ''").distinct()
+    return _marked(df, text).filter("text is not null and trim(text) <> ''").groupBy(*MARK).agg(F.first("text").alias("text"))
 
 
 def find_spans(df: DataFrame, key: str = "id", text: str = "notes") -> DataFrame:
@@ -321,11 +331,11 @@ def find_spans(df: DataFrame, key: str = "id", text: str = "notes") -> DataFrame
         for b in batches:
             found = find_in(list(b["text"]), W, T)
             keep = [i for i, f in enumerate(found) if f]
-            yield pd.DataFrame({"text": [b["text"].iloc[i] for i in keep], "kinds": [[k for _, _, k in found[i]] for i in keep], "vals": [[b["text"].iloc[i][lo:hi] for lo, hi, _ in found[i]] for i in keep]})
+            yield b[MARK].iloc[keep].assign(kinds=[[k for _, _, k in found[i]] for i in keep], vals=[[b["text"].iloc[i][lo:hi] for lo, hi, _ in found[i]] for i in keep])
 
-    pieces = _distinct(df, text).mapInPandas(tag, "text string, kinds array<string>, vals array<string>")
-    rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    joined = lookup_join(rows, pieces, ["text"], "inner")
+    pieces = _distinct(df, text).mapInPandas(tag, "_h1 bigint, _h2 bigint, kinds array<string>, vals array<string>")
+    rows = _marked(df, text, F.col(key).alias("_key")).filter("text is not null").drop("text")
+    joined = lookup_join(rows, pieces, MARK, "inner")
     return joined.select(F.col("_key").alias(key), F.explode(F.arrays_zip("kinds", "vals")).alias("x")).select(key, F.col("x.kinds").alias("kind"), F.col("x.vals").alias("value")).distinct()
 
 
@@ -343,8 +353,9 @@ def redact(df: DataFrame, key: str = "id", text: str = "notes") -> DataFrame:
                 for lo, hi, kind in reversed(spans):
                     t = f"{t[:lo]}[{kind}]{t[hi:]}"
                 done.append(t)
-            yield pd.DataFrame({"text": texts, "clean": done})
+            changed = [i for i, (t, d) in enumerate(zip(texts, done, strict=True)) if t != d]
+            yield b[MARK].iloc[changed].assign(clean=[done[i] for i in changed])
 
-    table = _distinct(df, text).mapInPandas(clean, "text string, clean string")
-    rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
-    return lookup_join(rows, table, ["text"], "left").select(F.col("_key").alias(key), F.coalesce("clean", "text").alias(text))
+    table = _distinct(df, text).mapInPandas(clean, "_h1 bigint, _h2 bigint, clean string")
+    rows = _marked(df, text, F.col(key).alias("_key"))
+    return lookup_join(rows, table, MARK, "left").select(F.col("_key").alias(key), F.coalesce("clean", "text").alias(text))
