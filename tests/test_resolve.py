@@ -67,7 +67,7 @@ def test_only_the_ngram_join_finds(spark):
     assert [list(r["blocked_by"]) for r in found] == [["ngram"]]
 
 
-def test_ngram_join_is_exact(spark):
+def test_ngram_join_is_exact(spark, monkeypatch):
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, " ".join(rng.choice(["alma", "bruno", "carla", "alba", "bruna", "carlo"]) + rng.choice(["ni", "ti", "x"]) for _ in range(2))) for i in range(60)] + [(60, None), (61, "")], "id bigint, text string")
     v = {}
@@ -78,6 +78,11 @@ def test_ngram_join_is_exact(spark):
         s = sorted(((-round(sum(w * v[b].get(g, 0) for g, w in v[a].items()), 9), b) for b in v if b != a))[:8]
         want |= {(a, b) for x, b in s if -x >= 0.35}
     assert {(r["a"], r["b"]) for r in blocking.ngram_neighbours(docs).collect()} == want
+    for index_docs, asked_docs in ((7, 5), (20, 64)):  # many blocks
+        monkeypatch.setattr(blocking, "INDEX_DOCS", index_docs)
+        monkeypatch.setattr(blocking, "ASKED_DOCS", asked_docs)
+        assert {(r["a"], r["b"]) for r in blocking.ngram_neighbours(docs).collect()} == want
+    assert blocking.ngram_neighbours(docs.limit(0)).count() == 0
 
 
 def test_components_against_union_find(spark):
