@@ -87,17 +87,19 @@ class Vectors:
         cells = trigrams(text)
         return cells, math.sqrt(sum(map(self.square.__getitem__, cells)))
 
-    def _head(self, text: str) -> list[int]:
+    def _head(self, text: str) -> tuple[list[int], list[float]]:
+        """The cells of the head, the rarest first, and what part of the squared norm each and all after it hold."""
         square = self.square
         cells = sorted(trigrams(text), key=lambda c: (-square[c], c))
         whole = rest = sum(square[c] for c in cells)
-        kept = []
+        kept, left = [], []
         for c in cells:
             if rest < self.threshold * self.threshold * whole * (1 - 1e-9):
                 break
             kept.append(c)
+            left.append(rest / whole)
             rest -= square[c]
-        return kept
+        return kept, left
 
     def cosine(self, a: str, b: str) -> float:
         (x, nx), (y, ny) = self.vector(a), self.vector(b)
@@ -105,30 +107,32 @@ class Vectors:
 
 
 def heads(rows: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """(key, n) for rows (w, n, t): one row per trigram in the head of t's vector, its key hashed with w."""
+    """(key, n, left) for rows (w, n, t): one row per trigram in the head of t's vector, its key hashed with w; left: see Vectors."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = Vectors(weights, threshold).head
         for b in batches:
             own = [head(t) for t in b["t"]]
-            sizes = [len(o) for o in own]
-            cells = np.array([c for o in own for c in o], dtype=np.uint64)
+            sizes = [len(o) for o, _ in own]
+            cells = np.array([c for o, _ in own for c in o], dtype=np.uint64)
             within = np.repeat(b["w"].to_numpy(np.int64).view(np.uint64), sizes)
             key = (within ^ (cells + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-            yield pd.DataFrame({"key": key.view(np.int64), "n": np.repeat(b["n"].to_numpy(), sizes)})
+            yield pd.DataFrame({"key": key.view(np.int64), "n": np.repeat(b["n"].to_numpy(), sizes), "left": np.array([x for _, o in own for x in o], dtype=np.float32)})
 
-    return rows.select("w", "n", "t").mapInPandas(cut, "key bigint, n bigint")
+    return rows.select("w", "n", "t").mapInPandas(cut, "key bigint, n bigint, left float")
 
 
 def cosine_pairs(rows: DataFrame, weights: np.ndarray, threshold: float, left: DataFrame | None = None) -> DataFrame:
     """Candidate pairs (a, b, text_a, text_b, note_a, note_b), a < b, of nodes n of rows (w, n, t, note) that share a head trigram and w; n is unique.
 
     Only hashed keys and nodes are shuffled for the join; the texts are fetched for the pairs found. left: the rows of
-    which one must be in each pair; all by default.
+    which one must be in each pair; all by default. From the first trigram on that two vectors share, in the global order,
+    their product is at most that of what is left of both, so a pair is made only where that can reach the threshold.
     """
     table = materialise(heads(rows, weights, threshold), "heads")
     own = table if left is None else heads(left, weights, threshold)
-    pairs = own.select("key", F.col("n").alias("a")).join(table.select("key", F.col("n").alias("b")), "key").filter("a < b" if left is None else "a <> b")
+    pairs = own.select("key", F.col("n").alias("a"), F.col("left").alias("_l")).join(table.select("key", F.col("n").alias("b"), F.col("left").alias("_r")), "key").filter("a < b" if left is None else "a <> b")
+    pairs = pairs.filter(F.col("_l") * F.col("_r") >= threshold * threshold * (1 - 1e-5))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda s: rows.select(F.col("n").alias(s), F.col("t").alias(f"text_{s}"), F.col("note").alias(f"note_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
@@ -360,7 +364,7 @@ def links_in_place(rows: DataFrame, weights: np.ndarray, known: frozenset[str],
                     lists: dict[int, list[int]] = {}
                     pairs = set()
                     for j, t in enumerate(texts):
-                        for c in vectors.head(t):
+                        for c in vectors.head(t)[0]:
                             own = lists.setdefault(c, [])
                             pairs.update((i, j) for i in own)
                             own.append(j)
