@@ -309,6 +309,57 @@ def firm_verdict(a: str, b: str) -> bool | None:
     return False if not most or d > 2 * most else True if d <= most else None
 
 
+#: Texts longer than this are paired by their trigrams only, shorter ones by what deletions leave of them.
+MOST_LETTERS = 30
+
+
+def _deletions(text: str, most: int) -> set[str]:
+    """text, and all that up to `most` deletions leave of it."""
+    found = last = {text}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        found = found | last
+    return found
+
+
+def spelling_pairs(rows: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs as of cosine_pairs, of which one is not sure, of rows (w, n, t, note, sure): all that firm_verdict can accept, and others.
+
+    Each of k edits costs a letter on either side, so two texts within k edits have in common what k deletions leave of both.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, nodes, sure = [], [], []
+            for n, t, own in zip(b["n"], b["t"], b["sure"], strict=True):
+                for most, low, high in ((1, 5, 10), (2, 10, MOST_LETTERS + 2)):
+                    if low <= len(t) <= high:
+                        left = _deletions(t, most)
+                        keys.extend(zlib.crc32(x.encode("utf-8")) | len(x) << 32 | most << 40 for x in left)
+                        nodes.extend([n] * len(left))
+                        sure.extend([own] * len(left))
+            yield pd.DataFrame({"key": np.array(keys, dtype=np.int64), "n": np.array(nodes, dtype=np.int64), "sure": np.array(sure, dtype=bool)})
+
+    table = materialise(rows.select("n", "t", "sure").mapInPandas(cut, "key bigint, n bigint, sure boolean"), "deletions")
+    pairs = table.select("key", F.col("n").alias("a"), F.col("sure").alias("_l")).join(table.select("key", F.col("n").alias("b"), F.col("sure").alias("_r")), "key").filter("a < b and not (_l and _r)").select("a", "b").distinct()
+    side = lambda s: rows.select(F.col("n").alias(s), F.col("t").alias(f"text_{s}"), F.col("note").alias(f"note_{s}"))
+    long = rows.filter(F.length("t") > MOST_LETTERS)
+    return pairs.join(side("a"), "a").join(side("b"), "b").unionByName(cosine_pairs(long, weights, threshold, long.filter("not sure"))).dropDuplicates(["a", "b"])
+
+
+def firm_edges(cores: DataFrame, weights: np.ndarray, threshold: float, cut: float) -> DataFrame:
+    """(a, b, sim) of the firms' parts, rows (w, n, t, note, sure), with all pairs that average linkage at cut needs.
+
+    Open pairs stay under OPEN, so above it two clusters merge only over an accepted pair: clusters lie within the parts that
+    accepted pairs connect, and the trigram join is done within each part instead of over all firms.
+    """
+    if cut > OPEN:
+        accepted = judged(spelling_pairs(cores, weights, threshold), weights, firm_verdict, threshold).filter(F.col("sim") > OPEN)
+        parts = connected_components(materialise(accepted.select("a", "b"), "accepted")).select(F.col("id").alias("n"), F.col("root").alias("w"))
+        cores = materialise(cores.drop("w").join(parts, "n"), "parts")
+    return judged(cosine_pairs(cores, weights, threshold, cores.filter("not sure")), weights, firm_verdict, threshold)
+
+
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """The same rows, sorted by key, in frames that never cut a key's rows apart."""
     held: list[pd.DataFrame] = []
@@ -455,8 +506,7 @@ def link_firms(leads: DataFrame, threshold: float = FIRM_COSINE, cut: float = FI
     cores = texts.groupBy("t").agg(F.max("sure").alias("sure"), F.count(F.lit(1)).alias("texts")).select(F.xxhash64("t").alias("n"), F.lit(0).cast("bigint").alias("w"), "t", F.concat("t", F.lit("\t"), F.when(F.col("sure"), "x").otherwise("")).alias("note"), "sure", "texts")
     cores = materialise(cores, "cores")
     weights = gram_weights(cores, "t")
-    edges = judged(cosine_pairs(cores, weights, threshold, cores.filter("not sure")), weights, firm_verdict, threshold)
-    clusters = cluster_edges(edges, cut)
+    clusters = cluster_edges(firm_edges(cores, weights, threshold, cut), cut)
     alone = cores.filter("texts > 1").select(F.col("n").alias("node")).join(clusters, "node", "left_anti").select("node", F.col("node").alias("cluster"))  # texts with equal vectors and no others near
     return texts.select("text", F.xxhash64("t").alias("node")).join(clusters.unionByName(alone), "node").select(F.col("cluster").alias("firm"), "text")
 

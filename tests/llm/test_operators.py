@@ -308,6 +308,37 @@ def test_large_and_small_evidence_give_the_same_persons(spark):
     assert here == spread and len(here) > 100
 
 
+def test_firms_are_compared_with_near_ones_only(spark, monkeypatch):
+    rng = random.Random(8)
+    parts = "ra vi ton mar kel dor zin pla fen gio hul bre sta wex yor nim".split()
+    names = {"".join(rng.choices(parts, k=rng.choice((2, 3, 4)))) for _ in range(700)} | {"longname" * 5}
+    for n in rng.sample(sorted(names), 150) + ["longname" * 5]:
+        i = rng.randrange(1, len(n) - 1)
+        names.add(rng.choice((n[:i] + n[i + 1 :], n[:i] + "x" + n[i:], n[:i] + n[i + 1] + n[i] + n[i + 2 :])))
+    names = sorted(names)
+    df = spark.createDataFrame([(n, None) for n in names], "company_name string, domain_root string")
+    compared, judged = [], variants.judged
+    monkeypatch.setattr(variants, "judged", lambda pairs, *more: compared.append(pairs.count()) or judged(pairs, *more))
+    got = {}
+    for r in variants.link_firms(df).collect():
+        got.setdefault(r["firm"], set()).add(r["text"])
+    core = {n: variants.firm_core(n) for n in names}
+    weights = variants.gram_weights(spark.createDataFrame([(c,) for c in set(core.values())], "t string"), "t")
+    cosine = variants.Vectors(weights, variants.FIRM_COSINE).cosine
+    sims = {}
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[:i]):
+            v = cosine(core[a], core[b])
+            if v >= variants.FIRM_COSINE and (x := variants._similarity(v, variants.firm_verdict(f"{core[a]}\t", f"{core[b]}\t"))) > 0:
+                sims[j, i] = x
+    want = {}
+    for i, c in variants.linkage(sims, variants.FIRM_LINKAGE).items():
+        want.setdefault(c, set()).add(names[i])
+    several = lambda groups: sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    assert len(several(want)) > 50 and several(got) == several(want)
+    assert sum(compared) < 4 * len(names)
+
+
 def test_every_variant_comes_from_the_cosine_join(spark):
     """With a cosine that no pair of different vectors reaches, only equal vectors are linked."""
     df = people_of(spark, PEOPLE)
