@@ -85,6 +85,31 @@ def test_ngram_join_is_exact(spark, monkeypatch):
     assert blocking.ngram_neighbours(docs.limit(0)).count() == 0
 
 
+def test_neighbours_write_no_more_than_the_documents(spark):
+    """Vectors are neither repeated for blocks nor shuffled by gram: the files of a run grow with the documents (before: 150 copies at 300,000)."""
+    import os
+
+    rng = random.Random(5)
+    syllables = "al ma bru no car la to ri ven dor quis zet".split()
+    docs = spark.createDataFrame([(i, " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(4))) for i in range(2000)], "id bigint, text string")
+    found = blocking.ngram_neighbours(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "Generate" not in plan
+    v = {}
+    for r in blocking.ngram_vectors(docs).filter("usable").collect():
+        v.setdefault(r["id"], {})[r["gram"]] = r["w"]
+    got = {}
+    for r in found.orderBy("a", "place").collect():
+        got.setdefault(r["a"], []).append((r["b"], round(r["score"], 9)))
+    for a in range(0, 2000, 97):
+        s = sorted((-round(sum(w * v[b].get(g, 0) for g, w in v[a].items()), 9), b) for b in v if b != a)[:8]
+        assert [b for b, _ in got.get(a, [])] == [b for x, b in s if -x >= 0.35], a
+        assert all(abs(x + y) < 2e-9 for (_, x), (y, _) in zip(got.get(a, []), s))
+    path = next(p for p in found.inputFiles() if "vectors" in p).removeprefix("file://")
+    folder = os.path.dirname(path)
+    assert sum(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder)) < 2000 * 400
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
