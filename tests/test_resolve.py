@@ -110,6 +110,26 @@ def test_neighbours_write_no_more_than_the_documents(spark):
     assert sum(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder)) < 2000 * 400
 
 
+def test_parts_give_the_same_scores_and_leave_no_shuffle(spark, sf, monkeypatch, tmp_path):
+    """Pairs scored in parts are those scored at once, and what a step shuffles is gone when it is written (before: it stayed until the driver collected garbage)."""
+    import pathlib
+
+    from siftwell import session
+
+    df = spark.read.parquet(f"{sf}/leads.parquet")
+    pairs = session.materialise(blocking.block_pairs(df), "test")
+    one = {tuple(r) for r in resolve.scored(df, EngineConfig(), pairs=pairs).select("a", "b", "score", F.array_join("blocked_by", ",")).collect()}
+    monkeypatch.setattr(resolve, "PART_PAIRS", 0)
+    monkeypatch.setattr(resolve, "PARTS", 3)
+    assert one and {tuple(r) for r in resolve.scored(df, EngineConfig(), pairs=pairs).select("a", "b", "score", F.array_join("blocked_by", ",")).collect()} == one
+    where = pathlib.Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    count = lambda: len(list(where.rglob("shuffle_*.data")))
+    before = count()
+    session.materialise(df.repartition(3).groupBy("country").count(), "test")
+    assert count() <= before
+    assert spark.conf.get(session.CLEANUP) == "false" or spark.conf.get(session.CLEANUP) is None
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
